@@ -1,49 +1,105 @@
 """Exact, cached encoding with a public tokenizer file.
 
 A text is cut before spaces that follow a non-space. The pre-tokenizers here never join characters
-across such a place, so the ids of the pieces, in order, are the ids of the whole text; the
-library encodes each distinct piece once and a bounded cache serves the rest.
+across such a place, so the ids of the pieces, in order, are the ids of the whole text. The
+library encodes each distinct piece once, many in one call, and a bounded cache serves the rest.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
 #: Whitespace before a space, by any library's notion; there the text is not cut.
 HARD = re.compile("[\\s᠎​﻿] ")
 CUT = re.compile("(?<=[^\\s᠎​﻿])(?= )")
+#: A private-use character that no ordinary piece holds.
+MARK = ""
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``spaces``: whether a leading space is part of a piece."""
+    """Ids as little-endian unsigned 32-bit bytes. ``spaces``: whether a leading space is part of a piece.
 
-    def __init__(self, file: str, spaces: bool, limit: int = 400_000) -> None:
+    The cache has two generations of ``limit`` pieces each; pieces in use move to the younger one.
+    """
+
+    def __init__(self, file: str, spaces: bool, limit: int = 300_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; a pool would only cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.spaces, self.limit = spaces, limit
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        self.separator = "\n" if spaces else f" {MARK} "
+        self.mark = np.asarray(self.plain(self.separator), np.uint32)
+
+    def plain(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def pieces(self, text: str) -> list[str]:
         if not self.spaces:
             return text.split(" ")
-        if HARD.search(text) or text.startswith(" "):
+        if HARD.search(text) or "\0" in text:
             return CUT.split(text)
-        out = text.replace(" ", "\0 ").split("\0") if "\0" not in text else CUT.split(text)
-        return out
+        return text.replace(" ", "\0 ").split("\0")
+
+    def joinable(self, piece: str) -> bool:
+        """Whether the piece can be told apart from its neighbours after a joint call."""
+        if not self.spaces:
+            return MARK not in piece
+        return "\n" not in piece and not piece[-1:].isspace() and not piece.lstrip(" ")[:1].isspace() and piece[:2] != "  "
+
+    def learn(self, new: list[str]) -> None:
+        """Encode pieces into the cache."""
+        cache, mark = self.cache, self.mark
+        joint, single, lines = [], [], []
+        for p in new:
+            if self.joinable(p):
+                joint.append(p)
+            elif self.spaces and "\n" in p and all(map(self.joinable, parts := p.split("\n"))) and all(parts):
+                lines.append((p, parts))  # a newline between non-spaces is a token of its own
+            else:
+                single.append(p)
+        joint += {x for _, parts in lines for x in parts if x not in cache}
+        for i in range(0, len(joint), 2_000):
+            part = joint[i : i + 2_000]
+            ids = np.asarray(self.plain(self.separator.join(part)), np.uint32)
+            found = np.ones(max(len(ids) - len(mark) + 1, 0), bool)
+            for k, m in enumerate(mark):
+                found &= ids[k : k + len(found)] == m
+            ends = np.flatnonzero(found)
+            if len(ends) != len(part) - 1:  # a separator came out otherwise than alone
+                single += part
+                continue
+            data, n = ids.astype("<u4").tobytes(), 4 * len(mark)
+            starts, stops = [0, *(4 * ends + n).tolist()], [*(4 * ends).tolist(), len(data)]
+            cache.update((p, data[a:b]) for p, a, b in zip(part, starts, stops, strict=True))
+        cache.update((p, np.asarray(self.plain(p), "<u4").tobytes()) for p in single)
+        newline = mark.astype("<u4").tobytes()
+        cache.update((p, newline.join(cache[x] for x in parts)) for p, parts in lines)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.pieces(t) for t in texts]
-        cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
-        new = list({p for ps in cut for p in ps if p not in cache})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache[p] = np.asarray(e.ids, "<u4").tobytes()
-        get = cache.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        if len(self.cache) > self.limit:
+            self.cache, self.old = {"": b""}, self.cache
+        cache, old = self.cache, self.old
+        get = cache.get
+        out = [list(map(get, ps)) for ps in cut]
+        missed = {ps[k] for ps, found in zip(cut, out, strict=True) if None in found for k, x in enumerate(found) if x is None}
+        if missed:
+            known = missed & old.keys()
+            cache.update((p, old[p]) for p in known)
+            self.learn(list(missed - known))
+            out = [list(map(get, ps)) if None in found else found for ps, found in zip(cut, out, strict=True)]
+        return [b"".join(x) for x in out]
+
+
+@lru_cache(maxsize=2)
+def encoder(file: str, spaces: bool) -> Encoder:
+    """One encoder for each Python worker, so that its tasks share a cache."""
+    return Encoder(file, spaces)

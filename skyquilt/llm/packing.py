@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.bpe import Encoder
+from skyquilt.llm.bpe import encoder
 from skyquilt.llm.common import bound_batches, ddl, materialize, slices, texts
 
 CAPACITY = 4096
@@ -38,11 +38,11 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capac
     last = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, step = Encoder(tokenizer_file, spaces=False), 4 * capacity
+        bpe, step = encoder(tokenizer_file, False), 4 * capacity
         for batch in batches:
-            for rows, _, _ in slices(batch):
+            for rows, _, _ in slices(batch, limit=1 << 20):
                 out = []
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), encoder.encode(rows.column("text").to_pylist()), strict=True):
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), bpe.encode(rows.column("text").to_pylist()), strict=True):
                     ids += last
                     out += [(doc, k // step, k // 4, len(ids[k : k + step]) // 4, zlib.crc32(ids[k : k + step])) for k in range(0, len(ids), step)]
                 yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)

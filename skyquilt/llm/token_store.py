@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyquilt.llm.bpe import Encoder
+from skyquilt.llm.bpe import encoder
 from skyquilt.llm.common import bound_batches, ddl, fresh_path, slices, texts
 
 #: Ids repeat, so they are dictionary pages; the version 2 writer has delta pages for the sorted columns. Pages of few rows, each with its entry in the page index, let a reader fetch single documents.
@@ -31,10 +31,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     last = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(tokenizer_file, spaces), TaskContext.get().partitionId(), 0
+        bpe, part, at = encoder(tokenizer_file, spaces), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows, _, _ in slices(batch):
-                found = [x + last for x in encoder.encode(rows.column("text").to_pylist())]
+            for rows, _, _ in slices(batch, limit=1 << 20):
+                found = [x + last for x in bpe.encode(rows.column("text").to_pylist())]
                 n = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
                 ends = np.cumsum(n)
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
