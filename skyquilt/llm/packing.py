@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.llm.bpe import encoder
-from skyquilt.llm.common import bound_batches, ddl, materialize, slices, texts
+from skyquilt.llm.common import bound_batches, ddl, materialize, output, slices, texts
 
 CAPACITY = 4096
 #: Pieces of an island; the number of islands grows with the input.
@@ -35,17 +35,20 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32``; only documents over ``capacity`` tokens are cut."""
     bound_batches(docs.sparkSession)
-    last = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, step = encoder(tokenizer_file, False), 4 * capacity
+        bpe = encoder(tokenizer_file, False, end_id)
         for batch in batches:
-            for rows, _, _ in slices(batch, limit=1 << 20):
-                out = []
-                for doc, ids in zip(rows.column("doc_id").to_pylist(), bpe.encode(rows.column("text").to_pylist()), strict=True):
-                    ids += last
-                    out += [(doc, k // step, k // 4, len(ids[k : k + step]) // 4, zlib.crc32(ids[k : k + step])) for k in range(0, len(ids), step)]
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), PIECES, strict=True)], schema=PIECES)
+            for rows, data, off in slices(batch, limit=1 << 20):
+                flat, n = bpe.encode(data, off)
+                flat, begin = flat.astype("<u4", copy=False), np.cumsum(n) - n
+                cut = -(-n // capacity)
+                row = np.repeat(np.arange(len(n)), cut)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(cut) - cut, cut)
+                start = piece * capacity
+                length = np.minimum(n[row] - start, capacity)
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip((begin[row] + start).tolist(), (begin[row] + start + length).tolist(), strict=True)]
+                yield output(PIECES, {"doc_id": rows.column("doc_id").take(pa.array(row)), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
 
     return texts(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(encode, ddl(PIECES))
 

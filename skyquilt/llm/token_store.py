@@ -28,16 +28,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     each other in the order of their texts. An empty table writes no rows.
     """
     bound_batches(docs.sparkSession)
-    last = np.asarray([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, part, at = encoder(tokenizer_file, spaces), TaskContext.get().partitionId(), 0
+        bpe, part, at = encoder(tokenizer_file, spaces, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for rows, _, _ in slices(batch, limit=1 << 20):
-                found = [x + last for x in bpe.encode(rows.column("text").to_pylist())]
-                n = np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+            for rows, data, off in slices(batch, limit=1 << 20):
+                flat, n = bpe.encode(data, off)
                 ends = np.cumsum(n)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32)))
                 yield pa.record_batch([rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), ids], schema=STORED)
                 at += int(ends[-1])
 
