@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquilt.llm import decontaminate, line_chunks, packing, quality, secrets, sharding, telephony, token_store
+from skyquilt.llm import decontaminate, line_chunks, packing, quality, secrets, sharding, substring_dedup, telephony, token_store
 from skyquilt.llm.common import read_table
 
 
@@ -17,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -54,6 +59,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_line_dedup, op4_secrets, op5_packing, op7_sharding, op8_token_ids, op9_telephony, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_secrets, op5_packing, op7_sharding, op8_token_ids, op9_telephony, op10_quality)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": line_chunks.ORACLE}
