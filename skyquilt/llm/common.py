@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Python workers see at most this many rows, and the kernels at most this many text bytes, at once.
-BATCH_ROWS = 2_000
+#: Python workers get about this many bytes, and the kernels at most this many text bytes, at once.
+BATCH_BYTES = 16 << 20
 SLICE_BYTES = 4 << 20
 
 
@@ -44,10 +44,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small so that long texts cannot fill a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Keep Arrow batches small in bytes, so that long texts cannot fill a Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts(df: DataFrame, *keys: str) -> DataFrame:

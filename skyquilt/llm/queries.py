@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquilt.llm import decontaminate, line_chunks, packing, quality, secrets, sharding, substring_dedup, telephony, token_store
+from skyquilt.llm import decontaminate, jaccard_join, line_chunks, packing, quality, secrets, sharding, substring_dedup, telephony, token_store
 from skyquilt.llm.common import read_table
 
 
@@ -40,6 +40,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), 1)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(read_table(spark, sf_dir, "documents"), 24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -59,6 +63,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_secrets, op5_packing, op7_sharding, op8_token_ids, op9_telephony, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_decontamination, op3_line_dedup, op4_secrets, op5_packing, op6_jaccard_join, op7_sharding, op8_token_ids, op9_telephony, op10_quality)}
 
 ORACLES: dict[str, str] = {"op3_line_dedup": line_chunks.ORACLE}
