@@ -190,20 +190,52 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.length("text") > 0)
-    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
+    blocks = blocks_of(benchmark, block_bytes)
     rows = texts(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    if n_blocks == 1:
-        found = search(rows.select(F.lit(0).cast("long").alias("row_id"), "doc_id", "text"), [tuple(r) for r in items.collect()], window)
-        return summarize(found)
+    if len(blocks) == 1:
+        return summarize(search(rows.select(F.lit(0).cast("long").alias("row_id"), "doc_id", "text"), blocks[0], window))
     rows = rows.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
-    parts = [search(rows, [tuple(r) for r in dealt.where(F.col("block") == b).drop("block").collect()], window) for b in range(n_blocks)]
+    parts = [search(rows, block, window) for block in blocks]
     return summarize(merged(reduce(DataFrame.union, parts)))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the documents that hold any benchmark window; rows without doc_id are kept as they are."""
-    bad = find_contamination(docs, benchmark, window).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def flag_udf(docs: DataFrame, items: list[tuple[str, str]], window: int):
+    """A Column function from text to whether any window of the items occurs in it."""
+    import pandas as pd
+
+    cast = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_BYTES of text at most
+
+    def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        compiled = compile_patterns(cast.value, window)
+        for batch in batches:
+            out = []
+            for rows, data, off in slices(pa.record_batch([pa.array(batch, pa.string())], names=["text"])):
+                words, hit = Words(data, off), np.zeros(rows.num_rows, bool)
+                for patterns in compiled:
+                    for last, _ in patterns.occurrences(words):
+                        hit[words.text[last]] = True
+                out.append(hit)
+            yield pd.Series(np.concatenate(out) if out else np.zeros(0, bool))
+
+    flag.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(flag, "boolean")
+
+
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str, str]]]:
+    """The benchmark's (item id, text) rows in blocks of about ``block_bytes`` of text."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where(F.length("text") > 0)
+    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    return [[tuple(r) for r in dealt.where(F.col("block") == b).drop("block").collect()] for b in range(n)]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the documents in which any benchmark window occurs; texts are not shuffled.
+
+    Null and empty texts stay; repeated rows are judged each. No documents give no rows.
+    """
+    bound_batches(docs.sparkSession)
+    text = F.coalesce("text", F.lit(""))
+    flags = [flag_udf(docs, block, window)(text) for block in blocks_of(benchmark, block_bytes)]
+    return docs.where(~reduce(lambda a, b: a | b, flags))

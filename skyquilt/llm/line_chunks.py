@@ -16,6 +16,7 @@ MEAN_LINES = 4
 MIN_LINES = 2
 MIN_CHARS = 32
 NO_ID = -(2**63)
+ADDED = ("n_lines", "n_removed_chunks", "n_removed_lines")
 
 ROLL, MODULUS = 31, 1_000_003
 
@@ -76,8 +77,7 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES, min_li
     extra = places.withColumn("nth", F.row_number().over(order)).where("c_doc > first_doc OR nth > 1")
     gone = extra.groupBy("c_doc", "c_key").agg(F.collect_list("k").alias("c_gone"))
 
-    added = ("n_lines", "n_removed_chunks", "n_removed_lines")
-    names = [c for c in docs.columns if c not in added]
+    names = [c for c in docs.columns if c not in ADDED]
     rows = with_lines(docs, mean_lines, *names).join(gone, ["c_doc", "c_key"], "left")
     kept = F.array_except(F.sequence(F.lit(0), F.size("c_ends") - 1), F.col("c_gone"))
     parts = F.transform(kept, lambda k: F.slice(F.col("c_lines"), chunk_start(k) + 1, F.get(F.col("c_ends"), k) - chunk_start(k) + 1))
