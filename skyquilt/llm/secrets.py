@@ -73,6 +73,73 @@ def two_sided(z: Column) -> Column:
     return F.greatest(2 / (1 + F.exp(1.5976 * a + 0.07056 * a * a * a)), F.lit(1e-12))
 
 
+def let(value: Column, then) -> Column:  # noqa: ANN001
+    """``then`` applied to a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
+def uniformity(v: Column, n: Column, size: Column) -> Column:
+    """p-value of the chi-squared statistic over classes of neighbouring symbols, by Wilson and Hilferty's normal form.
+
+    As many classes as keep five expected symbols in each, 4 to 16; they differ in size where the
+    number of symbols is not a multiple.
+    """
+    def first(k: Column, classes: Column) -> Column:
+        return F.ceil(k * size / classes)
+
+    def tail(classes: Column) -> Column:
+        def term(k: Column) -> Column:
+            expected = n * (first(k + 1, classes) - first(k, classes)) / size
+            seen = F.size(F.filter(v, lambda x: F.floor(x * classes / size) == k))
+            return let(F.struct(expected.alias("e"), seen.alias("s")), lambda t: (t["s"] - t["e"]) * (t["s"] - t["e"]) / t["e"])
+
+        def z(chi2: Column) -> Column:
+            df = (classes - 1).cast("double")
+            return (F.pow(chi2 / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
+
+        chi2 = total(F.transform(F.sequence(F.lit(0), classes - 1), term))
+        return let(let(chi2, z), lambda z: F.when(z <= 0, 1 - two_sided(z) / 2).otherwise(two_sided(z) / 2))
+
+    return let(F.least(F.lit(16), F.greatest(F.lit(4), F.floor(n / 5))).cast("int"), tail)
+
+
+def runs(v: Column, n: Column, size: Column) -> Column:
+    """p-value of Wald and Wolfowitz's number of runs below and above the middle of the alphabet."""
+    def p(t: Column) -> Column:
+        mean = 2 * t["high"] * (n - t["high"]) / n + 1
+        z = let(mean, lambda m: (t["runs"] - m) / F.sqrt((m - 1) * (m - 2) / (n - 1)))
+        return F.when((t["high"] < 2) | (t["high"] > n - 2), F.lit(1e-12)).otherwise(two_sided(z))
+
+    sides = F.transform(v, lambda x: (x * 2 >= size).cast("int"))
+    changes = lambda s: F.size(F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) != F.get(s, i - 1)))
+    return let(let(sides, lambda s: F.struct(F.aggregate(s, F.lit(0), lambda a, x: a + x).cast("double").alias("high"), (changes(s) + 1).alias("runs"))), p)
+
+
+def serial(v: Column, n: Column) -> Column:
+    """p-value of the correlation of neighbouring symbols."""
+    def p(d: Column) -> Column:
+        spread = total(F.transform(d, lambda x: x * x))
+        lagged = total(F.transform(d, lambda x, i: x * F.coalesce(F.get(d, i + 1), F.lit(0.0))))
+        r = F.try_divide(lagged, spread)
+        return F.coalesce(let((r + 1 / n) * F.sqrt(n), two_sided), F.lit(1e-12))
+
+    return let(let(total(v) / n, lambda m: F.transform(v, lambda x: x - m)), p)
+
+
+def combined(symbols: Column, alphabet: Column) -> Column:
+    """Fisher's combination of the three p-values."""
+    def all_three(v: Column) -> Column:
+        n, size = F.size(v).cast("double"), F.length(alphabet)
+        half = -(F.log(uniformity(v, n, size)) + F.log(runs(v, n, size)) + F.log(serial(v, n)))
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+
+    return let(F.transform(F.split(symbols, ""), lambda c: F.call_function("locate", c, alphabet) - 1), all_three)
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """``token`` with its ``encoding, length, p``; rows below ``MIN_BITS`` or of no encoding go."""
     def choose(values: list) -> Column:
@@ -81,37 +148,11 @@ def battery(tokens: DataFrame) -> DataFrame:
             out = F.when(F.col("token").rlike(pattern), F.lit(v)).otherwise(out)
         return out
 
-    t = tokens.withColumn("encoding", choose([e[0] for e in ENCODINGS])).withColumn("alphabet", choose([e[2] for e in ENCODINGS])).where(F.col("encoding").isNotNull())
+    t = tokens.select("token", choose([e[0] for e in ENCODINGS]).alias("encoding"), choose([e[2] for e in ENCODINGS]).alias("alphabet")).where(F.col("encoding").isNotNull())
     same_case = F.when(F.col("encoding").isin("hex", "base36"), F.lower("token")).otherwise(F.col("token"))
-    t = t.withColumn("symbols", F.regexp_replace(same_case, "=+$", ""))
-    t = t.withColumn("length", F.length("symbols")).withColumn("size", F.length("alphabet")).where(F.col("length") * F.log2("size") >= MIN_BITS)
-    t = t.withColumn("v", F.transform(F.split("symbols", ""), lambda c: F.call_function("locate", c, F.col("alphabet")) - 1))
-    n = F.col("length").cast("double")
-    # as many equal classes as keep five expected symbols in each, sixteen at most
-    t = t.withColumn("classes", F.least(F.lit(16), F.greatest(F.lit(4), F.floor(n / 5))).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.col("classes") - 1), lambda k: F.size(F.filter("v", lambda x: F.floor(x * F.col("classes") / F.col("size")) == k)))
-    # classes of an alphabet differ in size where the number of symbols is not a multiple
-    shares = F.transform(F.sequence(F.lit(0), F.col("classes") - 1), lambda k: (F.ceil((k + 1) * F.col("size") / F.col("classes")) - F.ceil(k * F.col("size") / F.col("classes"))) / F.col("size"))
-    t = t.withColumn("chi2", F.aggregate(F.zip_with(counts, shares, lambda c, s: (c - n * s) * (c - n * s) / (n * s)), F.lit(0.0), lambda a, x: a + x))
-    df = (F.col("classes") - 1).cast("double")
-    z1 = (F.pow(F.col("chi2") / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    t = t.withColumn("p1", F.when(z1 <= 0, 1 - two_sided(z1) / 2).otherwise(two_sided(z1) / 2))
-    high = F.col("n_high").cast("double")
-    t = t.withColumn("n_high", F.size(F.filter("v", lambda x: x * 2 >= F.col("size"))))
-    t = t.withColumn("runs", 1 + F.size(F.filter(F.transform("v", lambda x, i: F.coalesce(((x * 2 >= F.col("size")) != (F.get(F.col("v"), i - 1) * 2 >= F.col("size"))), F.lit(False))), lambda x: x)))
-    mean_runs = 2 * high * (n - high) / n + 1
-    z2 = (F.col("runs") - mean_runs) / F.sqrt((mean_runs - 1) * (mean_runs - 2) / (n - 1))
-    t = t.withColumn("p2", F.when((high < 2) | (high > n - 2), F.lit(1e-12)).otherwise(two_sided(z2)))
-    t = t.withColumn("mean", F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / n)
-    around = F.transform("v", lambda x: x - F.col("mean"))
-    t = t.withColumn("around", around)
-    spread = F.aggregate(F.transform("around", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
-    lagged = F.aggregate(F.transform("around", lambda x, i: x * F.coalesce(F.get(F.col("around"), i + 1), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
-    t = t.withColumn("spread", spread).withColumn("lagged", lagged)
-    t = t.withColumn("p3", F.when(F.col("spread") <= 0, F.lit(1e-12)).otherwise(two_sided((F.try_divide("lagged", "spread") + 1 / n) * F.sqrt(n))))
-    half = -(F.log("p1") + F.log("p2") + F.log("p3"))
-    t = t.withColumn("half", half)
-    return t.select("token", "encoding", "length", (F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2)).alias("p"))
+    symbols = F.regexp_replace(same_case, "=+$", "")
+    length = F.length(symbols)
+    return t.where(length * F.log2(F.length("alphabet")) >= MIN_BITS).select("token", "encoding", length.alias("length"), combined(symbols, F.col("alphabet")).alias("p"))
 
 
 def stratum() -> Column:
@@ -131,7 +172,7 @@ def thresholds(tested: DataFrame, limit: float) -> dict[str, float]:
         out[s] = 2.0  # nothing is reported where no threshold holds the limit
         for b in range(BINS // 2, -1, -1):
             reported = sum(counts[b:])
-            false = max(0.0, reported - random * (1 - b / BINS))
+            false = reported - random * (1 - b / BINS) - random**0.5  # beyond the estimate's own error
             if reported and false > limit * reported and b < BINS // 2:
                 break
             if reported:
@@ -154,7 +195,7 @@ def find_secrets(docs: DataFrame, limit: float = FALSE_DISCOVERY) -> DataFrame:
     rows = materialize(rows, "spans")  # the texts are scanned once
     base = F.array_sort(F.concat("assign", "access", "hex"))
     candidates = rows.where(F.size("candidates") > 0).select("text_key", F.explode("candidates").alias("c")).select("text_key", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("token"))
-    tested = battery(candidates.select("token").distinct())
+    tested = materialize(battery(candidates.select("token").distinct()), "tested")
     kept = thresholds(tested, limit)
     least = F.element_at(F.create_map(*[F.lit(x) for kv in kept.items() for x in kv]), stratum()) if kept else F.lit(2.0)
     reported = tested.where(F.col("p") >= F.coalesce(least, F.lit(2.0))).select("token")
