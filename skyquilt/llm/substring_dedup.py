@@ -252,8 +252,10 @@ def repeats_of(candidates: DataFrame, data: DataFrame, steps: tuple[int, ...], l
     cut = F.expr(f"substring(whole, cast(a + 1 as int), cast(starts + {length - 1} as int))")
     part_data = parts.join(bytes_of, ["pg", "ps"]).select("g", "s", "n", "back", "variants", cut.alias("data"))
     found = repeats_of(parts, part_data, steps[1:], length, group)
-    back = links.join(found, ["g", "s"]).select(F.col("pg").alias("g"), F.col("ps").alias("s"), F.transform("spans", lambda x: x + F.col("a")).alias("spans"))
-    return small.union(back)
+    back = links.join(found, ["g", "s"]).select("pg", "ps", F.transform("spans", lambda x: x + F.col("a")).alias("spans"))
+    # one row for each stretch, so that its many places meet it once
+    whole = back.groupBy("pg", "ps").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("pg").alias("g"), F.col("ps").alias("s"), "spans")
+    return small.union(whole)
 
 
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.int64()))])
