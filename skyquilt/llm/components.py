@@ -18,11 +18,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = materialize(edges.select("x", "y").union(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("m")).select("v", F.least("v", "m").alias("comp")), "labels")
     for k in range(rounds):
-        near = both.join(labels.select(F.col("v").alias("y"), "comp"), "y").groupBy(F.col("x").alias("v")).agg(F.min("comp").alias("m"))
-        step = labels.join(near, "v").select("v", F.least("comp", "m").alias("comp"), F.col("comp").alias("was"))
-        step = materialize(step, f"step{k}")
-        jump = step.select(F.col("v").alias("comp"), F.col("comp").alias("next"))
-        after = materialize(step.join(jump, "comp").select("v", F.least("comp", "next").alias("comp"), "was"), f"labels{k}")
+        known = labels.select(F.col("v").alias("y"), "comp")
+        near = both.join(known, "y").groupBy(F.col("x").alias("v")).agg(F.min("comp").alias("m"))
+        step = labels.join(near, "v").select("v", F.least("comp", "m").alias("at"), F.col("comp").alias("was"))
+        after = step.join(labels.select(F.col("v").alias("at"), F.col("comp").alias("next")), "at").select("v", F.least("at", "next").alias("comp"), "was")
+        after = materialize(after, f"labels{k}")
         labels = after.select("v", "comp")
         if after.where("comp <> was").limit(1).count() == 0:
             return labels

@@ -5,10 +5,11 @@ prefix, its first shingles in a global order from rare to common, must share a s
 prefix of each set it links with. Index lists of prefix shingles are sorted by set size, so that
 whole blocks are skipped whose size, or position in the prefix, cannot reach the threshold.
 
-Answers are derived from a similar set's: first only neighbours in a list are compared, which
-links the members of a group of near copies to one another; afterwards a set is compared with
-those sets of its lists alone that its own group's answers do not contain yet. Counts in buckets of
-shingle hashes bound the overlap from above before any set is fetched; whole sets decide.
+Answers are derived from a similar set's: in a few rounds, a set is compared with the most similar
+of a few others in its lists, which makes groups of near copies grow together; afterwards it is
+compared with all those sets of its lists, and only those, that its own group's answers do not
+contain yet. Counts in buckets of shingle hashes bound the overlap from above before any set is
+fetched; whole sets decide.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.llm.common import BYTE_VALUES, bound_batches, ddl, materialize, mix, output, prefix_sums, signed, slices, span_hashes
@@ -25,10 +26,11 @@ from skyquilt.llm.components import connected_components
 
 SHINGLE = 4
 PERCENT = 85
-COUNTERS = 16  # bits
-SKETCH = 64
+COUNTERS = 18  # bits
 #: Partners that one task compares with a set at most.
 FAN = 256
+#: Rounds in which groups grow together, and partners that a set is compared with in each.
+ROUNDS, PARTNERS = 3, 4
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -66,6 +68,20 @@ def signature(s: np.ndarray) -> np.ndarray:
     return mix((mix(s ^ np.uint64(0x5BF03635)) * np.uint64(3)).sum(keepdims=True) + np.uint64(len(s)))
 
 
+def sketch_of(s: np.ndarray) -> bytes:
+    """Counts of hashes by their low bits, in about half as many buckets as there are hashes; counts stop at 255."""
+    size = 64
+    while 2 * size < len(s):
+        size *= 2
+    return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """A lower bound for the number of hashes that are in one set only."""
+    x, y = (np.frombuffer(k, np.uint8).astype(np.int64) for k in ((a, b) if len(a) <= len(b) else (b, a)))
+    return int(np.abs(x - y.reshape(-1, len(x)).sum(0)).sum())
+
+
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap at which sets of these sizes link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -73,8 +89,8 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 SETS = pa.schema([("jk", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("counts", pa.binary())])
 POSTINGS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
-LISTS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("pos", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+BOUNDED = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("spare", pa.int64())])
 COUNTS = pa.schema([("counts", pa.binary())])
 
 
@@ -92,10 +108,10 @@ def describe(keyed: DataFrame, size: int) -> DataFrame:
                 sets = shingle_sets(data, off, size)
                 for row, at in zip(total, counters(np.concatenate(sets)), strict=True):
                     row += np.bincount(at, minlength=len(row))
-                sketch = [np.minimum(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 65535).astype("<u2").tobytes() for s in sets]
+                sketch = [sketch_of(s) for s in sets]
                 v = signed(np.concatenate([signature(s) for s in sets]))
                 yield output(SETS, {"jk": rows.column("jk"), "v": v, "n": [len(s) for s in sets], "sketch": sketch, "counts": pa.nulls(len(sets), pa.binary())})
-        yield output(SETS, {"jk": [None], "v": [None], "n": [-1], "sketch": [None], "counts": [total.tobytes()]})
+        yield output(SETS, {"jk": [None], "v": [None], "n": [-1], "sketch": [None], "counts": [total.astype(np.int32).tobytes()]})  # one task has fewer than 2**31 shingles
 
     return keyed.select("jk", "text").mapInArrow(scan, ddl(SETS))
 
@@ -107,7 +123,8 @@ def summed(parts: DataFrame) -> bytes:
         total = np.zeros(2 << COUNTERS, np.int64)
         for batch in batches:
             for x in batch.column("counts"):
-                total += np.frombuffer(x.as_py(), np.int64)
+                raw = x.as_py()
+                total += np.frombuffer(raw, np.int32 if len(raw) == 8 << COUNTERS else np.int64)
         yield output(COUNTS, {"counts": [total.tobytes()]})
 
     n = max(1, int(parts.count() ** 0.5))
@@ -123,10 +140,10 @@ def ranks(s: np.ndarray, excess: np.ndarray) -> np.ndarray:
 
 def postings(keyed: DataFrame, counts: bytes, size: int, percent: int) -> DataFrame:
     total = np.frombuffer(counts, np.int64).reshape(2, -1)
-    # in steps of four standard deviations, doubling
+    # in steps of two standard deviations, doubling: what two counters both show beyond that is no chance
     mean = np.median(total, axis=1, keepdims=True)
-    excess = np.clip(np.log2(np.maximum((total - mean) / (4 * np.sqrt(mean + 1)), 0.5)) + 1, 0, 60).astype(np.uint8)
-    cast = keyed.sparkSession.sparkContext.broadcast(excess)  # 2**17 bytes
+    excess = np.clip(np.log2(np.maximum((total - mean) / (2 * np.sqrt(mean + 1)), 0.5)) + 1, 0, 60).astype(np.uint8)
+    cast = keyed.sparkSession.sparkContext.broadcast(excess)  # 2**19 bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes of this task: copies need no further postings
@@ -152,9 +169,12 @@ def postings(keyed: DataFrame, counts: bytes, size: int, percent: int) -> DataFr
 
 
 def reachable(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets that share a shingle at these positions can link: by size, and by what may follow the positions."""
+    """Whether sets that share a shingle at these positions can link: by size, and by what may follow the positions.
+
+    At a pair's first common shingle nothing before it is common, and if the pair links, this holds there.
+    """
     fits = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    return fits & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) + np.minimum(p1, p2) >= needed(n1, n2, percent))
+    return fits & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= needed(n1, n2, percent))
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
@@ -172,8 +192,8 @@ def whole_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterat
         yield rest
 
 
-def index_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of lists that hold two classes at least, each with the candidate pair it makes with the row before, if any."""
+def index_lists(rows: DataFrame) -> DataFrame:
+    """Rows of lists that hold two classes at least, each class once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, v, pos in whole_lists(batches, ["token", "n", "v", "pos"]):
@@ -182,15 +202,28 @@ def index_lists(rows: DataFrame, percent: int) -> DataFrame:
             token, n, v, pos = (x[fresh] for x in (token, n, v, pos))
             same = np.concatenate([[False], token[1:] == token[:-1], [False]])
             keep = same[1:] | same[:-1]
-            token, n, v, pos, linked = (x[keep] for x in (token, n.astype(np.int64), v, pos.astype(np.int64), same[:-1]))
-            if not len(token):
-                continue
-            before = np.roll(v, 1)
-            pair = linked & reachable(np.roll(n, 1), np.roll(pos, 1), n, pos, percent)
-            x, y = np.minimum(before, v), np.maximum(before, v)
-            yield output(LISTS, {"token": token, "v": v, "n": n, "pos": pos, "x": pa.array(x, mask=~pair), "y": pa.array(y, mask=~pair)})
+            if keep.any():
+                yield output(POSTINGS, {"token": token[keep], "v": v[keep], "n": n[keep], "pos": pos[keep]})
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos").mapInArrow(scan, ddl(POSTINGS))
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos").mapInArrow(scan, ddl(LISTS))
+
+def some_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Candidate pairs of different components: each row with the next ones of its list, by size in one turn, in random order in the others."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, n, v, pos, comp in whole_lists(batches, ["token", "n", "v", "pos", "comp"]):
+            if turn:
+                order = np.lexsort((mix(v.view(np.uint64) + np.uint64(turn)), token))
+                token, n, v, pos, comp = (x[order] for x in (token, n, v, pos, comp))
+            n, pos = n.astype(np.int64), pos.astype(np.int64)
+            for d in range(1, 9 if turn else 3):
+                i = np.flatnonzero((token[d:] == token[:-d]) & (comp[d:] != comp[:-d]))
+                i = i[reachable(n[i], pos[i], n[i + d], pos[i + d], percent)]
+                if len(i):
+                    yield output(PAIRS, {"x": np.minimum(v[i], v[i + d]), "y": np.maximum(v[i], v[i + d])})
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos", "comp").mapInArrow(scan, ddl(PAIRS))
 
 
 def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
@@ -220,19 +253,19 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose bucket counts leave room for the needed overlap."""
+    """Distinct pairs whose bucket counts leave room for the needed overlap, and how much to ``spare``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, SKETCH).astype(np.int64) for c in ("sx", "sy"))
                 n1, n2 = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
-                apart = np.abs(a - b).sum(1)  # at least this many shingles are in one set only
-                keep = (n1 + n2 - apart) // 2 >= needed(n1, n2, percent)
-                yield output(PAIRS, {c: batch.column(c).filter(pa.array(keep)) for c in ("x", "y")})
+                far = np.fromiter(map(apart, batch.column("sx").to_pylist(), batch.column("sy").to_pylist()), np.int64, batch.num_rows)
+                spare = (n1 + n2 - far) // 2 - needed(n1, n2, percent)
+                keep = pa.array(spare >= 0)
+                yield output(BOUNDED, {"x": batch.column("x").filter(keep), "y": batch.column("y").filter(keep), "spare": pa.array(spare).filter(keep)})
 
     side = lambda k: classes.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    return pairs.distinct().join(side("x"), "x").join(side("y"), "y").mapInArrow(scan, ddl(PAIRS))
+    return pairs.distinct().join(side("x"), "x").join(side("y"), "y").mapInArrow(scan, ddl(BOUNDED))
 
 
 def verify(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int) -> DataFrame:
@@ -282,21 +315,23 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     described = materialize(describe(keyed, size), "sets")
     rows = described.where("n >= 0").select("jk", "v", "n", "sketch")
     counts = summed(described.where("n < 0"))
-    lists = materialize(index_lists(postings(keyed, counts, size, percent), percent), "lists")
-    chained = lists.where(F.col("x").isNotNull()).select("x", "y")
-    if chained.limit(1).count() == 0 and lists.limit(1).count() == 0:
-        labels = rows.select("v", F.col("v").alias("comp")).limit(0)
-    else:
+    lists = materialize(index_lists(postings(keyed, counts, size, percent)), "lists")
+    labels = rows.select("v", F.col("v").alias("comp")).limit(0)
+    if lists.limit(1).count():
         classes = materialize(rows.join(lists.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("jk").alias("jk")), "classes")
         texts_of = materialize(class_texts(keyed, classes.select("v", "jk"), size), "texts")
-        first = materialize(promising(chained, classes, percent), "pairs1")
-        edges = materialize(verify(first, texts_of, size, percent), "edges1")
-        known = connected_components(edges)
-        labelled = lists.select("token", "n", "v", "pos").join(known, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        left = open_pairs(labelled, percent).distinct().join(first, ["x", "y"], "left_anti")
-        second = materialize(promising(left, classes, percent), "pairs2")
-        more = verify(second, texts_of, size, percent)
-        labels = connected_components(edges.union(more))
+        edges = None
+        for turn in range(ROUNDS + 1):
+            labelled = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+            if turn < ROUNDS:
+                nth = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("spare"), "y"))
+                chosen = promising(some_pairs(labelled, percent, turn), classes, percent).withColumn("nth", nth).where(F.col("nth") <= PARTNERS)
+            else:
+                chosen = promising(open_pairs(labelled, percent), classes, percent)
+            pairs = materialize(chosen.select("x", "y"), f"pairs{turn}")
+            found = verify(pairs, texts_of, size, percent)
+            edges = materialize(found if edges is None else edges.union(found), f"edges{turn}")
+            labels = connected_components(edges)
     joined = rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     least = joined.where("n > 0").groupBy("comp").agg(F.min("jk").alias("component"))
     out = joined.join(least, "comp", "left")
