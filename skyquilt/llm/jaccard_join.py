@@ -192,16 +192,32 @@ def whole_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterat
         yield rest
 
 
-def index_lists(rows: DataFrame) -> DataFrame:
-    """Rows of lists that hold two classes at least, each class once."""
+def has_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, near: int = 64) -> np.ndarray:
+    """Rows, sorted by token and size, with a row in their list that they can link with; rows of lists beyond ``near`` rows are kept unseen."""
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    length = np.diff(np.append(first, len(token)))
+    stop = np.repeat(first + length, length)
+    keep = np.repeat(length > near, length)
+    i = np.flatnonzero(~keep)
+    d = 1
+    while len(i):
+        i = i[i + d < stop[i]]
+        i = i[100 * n[i] >= percent * n[i + d]]
+        ok = i[reachable(n[i], pos[i], n[i + d], pos[i + d], percent)]
+        keep[ok] = keep[ok + d] = True
+        d += 1
+    return keep
+
+
+def index_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of lists that hold two classes at least, each class once, without rows that no other row of the list can link with."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, v, pos in whole_lists(batches, ["token", "n", "v", "pos"]):
             fresh = np.ones(len(token), bool)
             fresh[1:] = (token[1:] != token[:-1]) | (v[1:] != v[:-1])
             token, n, v, pos = (x[fresh] for x in (token, n, v, pos))
-            same = np.concatenate([[False], token[1:] == token[:-1], [False]])
-            keep = same[1:] | same[:-1]
+            keep = has_partner(token, n.astype(np.int64), pos.astype(np.int64), percent)
             if keep.any():
                 yield output(POSTINGS, {"token": token[keep], "v": v[keep], "n": n[keep], "pos": pos[keep]})
 
@@ -315,7 +331,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     described = materialize(describe(keyed, size), "sets")
     rows = described.where("n >= 0").select("jk", "v", "n", "sketch")
     counts = summed(described.where("n < 0"))
-    lists = materialize(index_lists(postings(keyed, counts, size, percent)), "lists")
+    lists = materialize(index_lists(postings(keyed, counts, size, percent), percent), "lists")
     labels = rows.select("v", F.col("v").alias("comp")).limit(0)
     if lists.limit(1).count():
         classes = materialize(rows.join(lists.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("jk").alias("jk")), "classes")
