@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python workers get about this many bytes, and the kernels at most this many text bytes, at once.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 SLICE_BYTES = 4 << 20
 
 

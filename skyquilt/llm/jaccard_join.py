@@ -104,7 +104,7 @@ def describe(keyed: DataFrame, size: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << COUNTERS), np.int64)
         for batch in batches:
-            for rows, data, off in slices(batch, limit=2 << 20):
+            for rows, data, off in slices(batch, limit=1 << 20):
                 sets = shingle_sets(data, off, size)
                 for row, at in zip(total, counters(np.concatenate(sets)), strict=True):
                     row += np.bincount(at, minlength=len(row))
@@ -148,7 +148,7 @@ def postings(keyed: DataFrame, counts: bytes, size: int, percent: int) -> DataFr
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes of this task: copies need no further postings
         for batch in batches:
-            for _, data, off in slices(batch, limit=2 << 20):
+            for _, data, off in slices(batch, limit=1 << 20):
                 token, v, n, pos = [], [], [], []
                 for s in shingle_sets(data, off, size):
                     if not len(s) or (k := int(signed(signature(s))[0])) in seen:
@@ -294,7 +294,7 @@ def verify(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int) -> Da
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, base = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for part, data, off in slices(batch, limit=2 << 20):
+            for part, data, off in slices(batch, limit=1 << 20):
                 sets = shingle_sets(data, off, size)
                 x, y = [], []
                 for s, a, v, kind in zip(sets, *(part.column(c).to_pylist() for c in ("x", "v", "kind")), strict=True):
@@ -359,7 +359,7 @@ def class_texts(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, off in slices(batch, limit=2 << 20):
+            for part, data, off in slices(batch, limit=1 << 20):
                 v = np.concatenate([signature(s) for s in shingle_sets(data, off, size)])
                 yield pa.record_batch([pa.array(signed(v)), part.column("text")], names=["v", "text"])
 
