@@ -34,8 +34,9 @@ def overlap_join(a: DataFrame, b: DataFrame, ring_a: str = "a_ring", ring_b: str
     """Pairs with common area and ``overlap`` (ring, inter, pct_a, pct_b, pct_smaller) at ``min_pct`` at least. Rings are convex; null rings go."""
     left = a.where(F.size(ring_a) >= 3).withColumn("a_box", G.bounds(F.col(ring_a)))
     right = b.where(F.size(ring_b) >= 3).withColumn("b_box", G.bounds(F.col(ring_b)))
-    pairs = box_candidates(left, right, cell=cell).withColumn("overlap", G.overlap(F.col(ring_a), F.col(ring_b)))
-    return pairs.where(F.col("overlap").isNotNull() & (F.col("overlap.pct_smaller") >= min_pct)).drop("a_box", "b_box")
+    # the generator evaluates the clip once, whatever is taken from it later
+    kept = F.filter(F.array(G.overlap(F.col(ring_a), F.col(ring_b))), lambda o: o.isNotNull() & (o["pct_smaller"] >= min_pct))
+    return box_candidates(left, right, cell=cell).drop("a_box", "b_box").withColumn("overlap", F.explode(kept))
 
 
 def count_points(polygons: DataFrame, points: DataFrame, key: str, ring: str = "ring", x: str = "x", y: str = "y", cell: float = 10.0) -> DataFrame:

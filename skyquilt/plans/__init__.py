@@ -1 +1 @@
-"""Plans of the engine."""
+"""End-to-end plans: label tree to manifest, catalogs to shortlist, matches to report."""

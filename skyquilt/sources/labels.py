@@ -54,7 +54,9 @@ def parse(labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     # malformed in from_xml or as a second child, and what passes is safe for xpath.
     body = F.concat(F.lit("<w>"), F.regexp_replace("xml", r"^(\x{FEFF})?\s*<\?xml[^>]*\?>", ""), F.lit("</w>"))
     bad = F.from_xml(body, "_corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"]
-    safe = labels.where(F.col("xml").isNotNull()).withColumn("xml", F.when(bad.isNull(), body)).where(F.col("xml").isNotNull())
+    # the generator keeps the check from being copied into every field below
+    once = F.explode(F.filter(F.array(F.when(bad.isNull(), body)), lambda x: x.isNotNull()))
+    safe = labels.where(F.col("xml").isNotNull()).select("path", *keep, once.alias("xml"))
     xml = F.col("xml")
     get = lambda tag: value(xml, any_of(tag))
     num = lambda tag: get(tag).try_cast("double")
