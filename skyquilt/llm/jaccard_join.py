@@ -31,6 +31,10 @@ COUNTERS = 18  # bits
 FAN = 256
 #: Rounds in which groups grow together, and partners that a set is compared with in each.
 ROUNDS, PARTNERS = 3, 4
+#: Lists up to this many rows wait for the last comparison; groups grow together in longer ones.
+SHORT = 16
+#: Bits of a filter on ids at most.
+FILTER_BITS = 27
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -89,6 +93,7 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 SETS = pa.schema([("jk", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("counts", pa.binary())])
 POSTINGS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+LISTS = pa.schema([*POSTINGS, ("size", pa.int32())])
 PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 BOUNDED = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("spare", pa.int64())])
 COUNTS = pa.schema([("counts", pa.binary())])
@@ -219,9 +224,11 @@ def index_lists(rows: DataFrame, percent: int) -> DataFrame:
             token, n, v, pos = (x[fresh] for x in (token, n, v, pos))
             keep = has_partner(token, n.astype(np.int64), pos.astype(np.int64), percent)
             if keep.any():
-                yield output(POSTINGS, {"token": token[keep], "v": v[keep], "n": n[keep], "pos": pos[keep]})
+                first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+                length = np.diff(np.append(first, len(token)))
+                yield output(LISTS, {"token": token[keep], "v": v[keep], "n": n[keep], "pos": pos[keep], "size": np.repeat(length, length)[keep]})
 
-    return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos").mapInArrow(scan, ddl(POSTINGS))
+    return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos").mapInArrow(scan, ddl(LISTS))
 
 
 def some_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -335,17 +342,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     labels = rows.select("v", F.col("v").alias("comp")).limit(0)
     if lists.limit(1).count():
         classes = materialize(rows.join(lists.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("jk").alias("jk")), "classes")
-        texts_of = materialize(class_texts(keyed, classes.select("v", "jk"), size), "texts")
         edges = None
         for turn in range(ROUNDS + 1):
-            labelled = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+            part = lists if turn == ROUNDS else lists.where(F.col("size") > SHORT)
+            if turn < ROUNDS and part.limit(1).count() == 0:
+                continue
+            own = classes if turn == ROUNDS else classes.join(part.select("v").distinct(), "v", "left_semi")
+            labelled = part.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
             if turn < ROUNDS:
                 nth = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("spare"), "y"))
-                chosen = promising(some_pairs(labelled, percent, turn), classes, percent).withColumn("nth", nth).where(F.col("nth") <= PARTNERS)
+                chosen = promising(some_pairs(labelled, percent, turn), own, percent).withColumn("nth", nth).where(F.col("nth") <= PARTNERS)
             else:
-                chosen = promising(open_pairs(labelled, percent), classes, percent)
+                chosen = promising(open_pairs(labelled, percent), own, percent)
             pairs = materialize(chosen.select("x", "y"), f"pairs{turn}")
-            found = verify(pairs, texts_of, size, percent)
+            ends = pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct()
+            found = verify(pairs, class_texts(keyed, own.join(ends, "v", "left_semi").select("v", "jk"), size), size, percent)
             edges = materialize(found if edges is None else edges.union(found), f"edges{turn}")
             labels = connected_components(edges)
     joined = rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
@@ -354,17 +365,52 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return out.select(F.col("jk").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("jk")).alias("component_id"))
 
 
+def slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> tuple[int, bytes]:
+    """(bits, bitmap) that tells most other ids from these: 16 bits for each id up to 2**27 in all, so 16 MB at most."""
+    n = ids.count()
+    bits = min(FILTER_BITS, max(16, int(16 * n).bit_length()))
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((1 << bits) // 8, np.uint8)
+        for batch in batches:
+            if "jk" in batch.schema.names:
+                flag = np.zeros(1 << bits, bool)
+                flag[slots(batch.column("jk").to_numpy(), bits)] = True
+                total |= np.packbits(flag)
+            else:
+                for x in batch.column("counts"):
+                    total |= np.frombuffer(x.as_py(), np.uint8)
+        yield output(COUNTS, {"counts": [total.tobytes()]})
+
+    parts = ids.select("jk").repartition(1 + n // 1_000_000).mapInArrow(join, ddl(COUNTS))
+    return bits, bytes(parts.repartition(1).mapInArrow(join, ddl(COUNTS)).first()[0])
+
+
 def class_texts(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``v, text``: a text of each wanted class: that of its smallest id, or any where it has no id."""
+    """``v, text``: a text of each wanted class: that of its smallest id, or any where it has no id.
+
+    A filter of fixed size passes over the other documents before their texts are shuffled.
+    """
+    wanted = materialize(wanted, "wanted")
+    bits, bitmap = id_filter(wanted.where(F.col("jk").isNotNull()))
+    cast = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flag = np.unpackbits(np.frombuffer(cast.value, np.uint8)).astype(bool)
         for batch in batches:
+            jk = batch.column("jk")
+            if jk.null_count == 0:
+                batch = batch.filter(pa.array(flag[slots(jk.to_numpy(), bits)]))
             for part, data, off in slices(batch, limit=1 << 20):
                 v = np.concatenate([signature(s) for s in shingle_sets(data, off, size)])
-                yield pa.record_batch([pa.array(signed(v)), part.column("text")], names=["v", "text"])
+                yield pa.record_batch([pa.array(signed(v)), part.column("jk"), part.column("text")], names=["v", "jk", "text"])
 
+    schema = "v long, jk long, text string"
     # rows that share an id can differ in text, so the class is taken from the text
-    named = keyed.join(wanted.where(F.col("jk").isNotNull()).select("jk").distinct(), "jk", "left_semi")
-    found = named.select("text").mapInArrow(scan, "v long, text string").join(wanted.where(F.col("jk").isNotNull()).select("v"), "v", "left_semi")
-    nameless = keyed.where(F.col("jk").isNull()).select("text").distinct().mapInArrow(scan, "v long, text string").join(wanted.where(F.col("jk").isNull()).select("v"), "v", "left_semi")
-    return found.union(nameless.groupBy("v").agg(F.first("text").alias("text")))
+    named = keyed.where(F.col("jk").isNotNull()).mapInArrow(scan, schema).join(wanted, ["v", "jk"], "left_semi")
+    nameless = keyed.where(F.col("jk").isNull()).dropDuplicates(["text"]).mapInArrow(scan, schema).join(wanted.where(F.col("jk").isNull()), "v", "left_semi")
+    return named.select("v", "text").union(nameless.groupBy("v").agg(F.first("text").alias("text")))
