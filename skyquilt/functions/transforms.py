@@ -115,3 +115,29 @@ def corner_transform(pairs, key: str = "pair_id"):  # noqa: ANN001, ANN201
 
     kind = dict(pairs.dtypes)[key]
     return pairs.select(key, "a_foot", "a_lines", "a_samples", "b_foot", "b_lines", "b_samples").mapInPandas(fit, f"{key} {kind}, forward array<double>, backward array<double>, error string")
+
+
+def fit_affine(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(3 x 3 affine matrix, residual lengths) of a least-squares fit through three points or more."""
+    src, dst = np.asarray(src, float), np.asarray(dst, float)
+    if len(src) < 3:
+        raise ValueError("three point pairs at least")
+    a = np.column_stack([src, np.ones(len(src))])
+    part = np.linalg.lstsq(a, dst, rcond=None)[0]
+    h = np.vstack([part.T, [0, 0, 1]])
+    return h, np.hypot(*(a @ part - dst).T)
+
+
+def chain_prior(to_ground: np.ndarray, ground_to_map, map_to_b, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:  # noqa: ANN001
+    """Affine prior from A pixels to B pixels through ground and map coordinates, fitted over grid points, with residuals."""
+    return fit_affine(grid, map_to_b(ground_to_map(project(to_ground, np.asarray(grid, float)))))
+
+
+def strip_frame(along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """Orthonormal frame (rows: across, along) from two directions by Gram and Schmidt; across is kept on its own side."""
+    u = np.asarray(along, float) / np.linalg.norm(along)
+    v = np.asarray(across, float) - np.dot(across, u) * u
+    size = np.linalg.norm(v)
+    if size < 1e-12:
+        raise ValueError("directions are parallel")
+    return np.stack([v / size, u])
