@@ -32,7 +32,7 @@ FAN = 256
 #: Rounds in which groups grow together, and partners that a set is compared with in each.
 ROUNDS, PARTNERS = 3, 4
 #: Lists up to this many rows wait for the last comparison; groups grow together in longer ones.
-SHORT = 16
+SHORT = 3
 #: Bits of a filter on ids at most.
 FILTER_BITS = 27
 
@@ -138,16 +138,17 @@ def summed(parts: DataFrame) -> bytes:
 
 
 def ranks(s: np.ndarray, excess: np.ndarray) -> np.ndarray:
-    """Order from rare to common: how far the smaller of a shingle's two counters is above the usual, then its hash."""
+    """Order from rare to common: where the smaller of a shingle's two counters stands about the usual, then its hash."""
     a, b = counters(s)
     return (np.minimum(excess[0][a], excess[1][b]).astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8))
 
 
 def postings(keyed: DataFrame, counts: bytes, size: int, percent: int) -> DataFrame:
     total = np.frombuffer(counts, np.int64).reshape(2, -1)
-    # in steps of two standard deviations, doubling: what two counters both show beyond that is no chance
+    # by sixteenths of a standard deviation about the median, in powers of two far above it
     mean = np.median(total, axis=1, keepdims=True)
-    excess = np.clip(np.log2(np.maximum((total - mean) / (2 * np.sqrt(mean + 1)), 0.5)) + 1, 0, 60).astype(np.uint8)
+    z = (total - mean) / np.sqrt(mean + 1)
+    excess = np.where(z < 8, 64 + 16 * np.clip(z, -4, 8), 192 + 4 * np.log2(np.maximum(z, 8) / 8)).clip(0, 254).astype(np.uint8)
     cast = keyed.sparkSession.sparkContext.broadcast(excess)  # 2**19 bytes
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +261,7 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
             place = np.arange(len(token))
             open_ = np.maximum.reduceat(comp, first) != np.minimum.reduceat(comp, first)
             live = np.repeat(open_, np.diff(np.append(first, len(token))))
-            d = 1
+            d, found = 1, []
             while live.any():  # partners d places on; sizes ascend, so a list ends at its first partner that is too large
                 i = np.flatnonzero(live)
                 i = i[place[i] + d < stop[i]]
@@ -268,9 +269,13 @@ def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 live = np.zeros(len(token), bool)
                 live[i] = True
                 ok = i[(comp[i] != comp[i + d]) & reachable(n[i], pos[i], n[i + d], pos[i + d], percent)]
-                if len(ok):
-                    yield output(PAIRS, {"x": np.minimum(v[ok], v[ok + d]), "y": np.maximum(v[ok], v[ok + d])})
+                found.append(np.column_stack([np.minimum(v[ok], v[ok + d]), np.maximum(v[ok], v[ok + d])]))
                 d += 1
+                if sum(map(len, found)) > 200_000:
+                    pairs, found = np.unique(np.concatenate(found), axis=0), []
+                    yield output(PAIRS, {"x": pairs[:, 0], "y": pairs[:, 1]})
+            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
+                yield output(PAIRS, {"x": pairs[:, 0], "y": pairs[:, 1]})
 
     return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos", "comp").mapInArrow(scan, ddl(PAIRS))
 
