@@ -71,6 +71,14 @@ def test_components(spark):
     assert {r.v: r.comp for r in connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_shuffled_paths(spark):
+    """Paths whose order is not that of their ids: labels that only cross one vertex a round need hundreds of rounds."""
+    rng = np.random.default_rng(0)
+    paths = [rng.permutation(1_000), 1_000 + rng.permutation(1_000)]
+    edges = spark.createDataFrame([(int(a), int(b)) for p in paths for a, b in zip(p[:-1], p[1:], strict=True)], "x long, y long")
+    assert {r.v: r.comp for r in connected_components(edges).collect()} == {v: v // 1_000 * 1_000 for v in range(2_000)}
+
+
 def test_bad_limits(docs):
     with pytest.raises(ValueError, match="percent"):
         J.near_duplicates(docs, percent=20)
