@@ -15,6 +15,8 @@ from skyquilt.llm.common import materialize, read_table
 from skyquilt.llm.queries import tokenizer
 
 THRESHOLD = 0.3
+#: Near copies share 80 % of their five-word shingles; op6_jaccard_join has limits of its own.
+SHINGLE, PERCENT = 5, 80
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest doc_id of each group of near copies."""
-    groups = jaccard_join.near_duplicates(docs)
+    groups = jaccard_join.near_duplicates(docs, SHINGLE, PERCENT)
     copies = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 

@@ -23,6 +23,16 @@ def test_stages(spark):
     assert C.run(spark, SF).count() == sizes[-1]
 
 
+def test_near_copies_go_at_five_words_and_80_percent(spark):
+    """Texts of 100 words with one-word edits: two give 86 of 106 five-word shingles (but 89 of 105 of four words are below 85 %), three give 81 of 111."""
+    words = [f"w{i}" for i in range(100)]
+    edited = lambda tag, *at: " ".join(f"{tag}{i}" if i in at else w for i, w in enumerate(words))
+    other = " ".join(f"other{i}" for i in range(100))
+    rows = [(1, edited("a")), (2, edited("b", 30, 60)), (3, edited("c", 20, 50, 80)), (4, other), (None, edited("d", 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(str(r.doc_id) for r in C.one_of_each_group(spark, docs, SF).collect()) == ["1", "3", "4", "None"]
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in C.STAGES:
