@@ -484,7 +484,7 @@ def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyquilt.functions import transforms as T
 
     flat = lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    pairs = box_pairs(spark, sf_dir, A_SUPPLIER, B_PART).where("b_id % 7 = 0").select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), flat(F.col("a_ring")).alias("a_foot"), flat(F.col("b_ring")).alias("b_foot"), *[F.lit(v).alias(n) for n, v in (("a_lines", 100), ("a_samples", 100), ("b_lines", 200), ("b_samples", 200))])
+    pairs = box_pairs(spark, sf_dir, A_SUPPLIER, B_PART).select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), flat(F.col("a_ring")).alias("a_foot"), flat(F.col("b_ring")).alias("b_foot"), *[F.lit(v).alias(n) for n, v in (("a_lines", 100), ("a_samples", 100), ("b_lines", 200), ("b_samples", 200))])
     fitted = T.corner_transform(pairs)
     there = T.apply_homography(F.col("forward"), F.lit(49.5), F.lit(49.5))
     return fitted.select("pair_id", F.round(there["x"], 6).alias("x"), F.round(there["y"], 6).alias("y"), "error")

@@ -36,3 +36,9 @@ def test_against_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(base.QUERIES) - set(base.ORACLES)))
 def test_rows_only(spark, name):
     assert base.QUERIES[name](spark, SF).count() > 0
+
+
+def test_homographies_of_all_box_pairs(spark):
+    pairs = base.box_pairs(spark, SF, base.A_SUPPLIER, base.B_PART).select(base.X.pair_id("a_id", "b_id").alias("pair_id"))
+    got = base.QUERIES["homography_project"](spark, SF)
+    assert sorted(r.pair_id for r in got.select("pair_id").collect()) == sorted(r.pair_id for r in pairs.collect())
