@@ -2,23 +2,31 @@
 
 Documents with the same shingle set are one class; a representative of each class is enough. A set's
 prefix, its first shingles in a global order from rare to common, must share a shingle with the
-prefix of each set it links with. Index lists of prefix shingles are sorted by set size, so that
-whole blocks are skipped whose size, or position in the prefix, cannot reach the threshold.
-
-Answers are derived from a similar set's: in a few rounds, a set is compared with the most similar
-of a few others in its lists, which makes groups of near copies grow together; afterwards it is
-compared with all those sets of its lists, and only those, that its own group's answers do not
-contain yet. Counts in buckets of shingle hashes bound the overlap from above before any set is
-fetched; whole sets decide.
+prefix of each set it links with.
+
+Index level: lists of prefix shingles are sorted by set size and position. All rows of one size are a
+block. From a set's own size and position follow the sizes, and in each block the last position, with
+which the threshold can still be reached; whole blocks, and the rest of a block, are skipped unseen.
+
+Answer level: answers here are the components. In a few turns, each set is compared with few others
+from its lists, so that groups of near copies grow together. Afterwards a set is compared only with
+sets that its own group's answers do not hold. Where it meets many sets of one group, their answers
+are derived from one of them, R: both overlaps with R are computed, and as |x & y| is at most
+|x & R| + |y - R| and at least |x & R| + |y & R| - |R|, most pairs are decided without being
+compared. Counts in buckets of shingle hashes bound the overlap from above before any set is
+fetched; whole sets decide the rest.
+
+Words, shingles and sets are compared by 64-bit hashes (words beyond 64 bytes by a cryptographic one).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.llm.common import BYTE_VALUES, bound_batches, ddl, materialize, mix, output, prefix_sums, signed, slices, span_hashes
@@ -29,10 +37,12 @@ PERCENT = 85
 COUNTERS = 18  # bits
 #: Partners that one task compares with a set at most.
 FAN = 256
-#: Rounds in which groups grow together, and partners that a set is compared with in each.
-ROUNDS, PARTNERS = 3, 4
-#: Lists up to this many rows wait for the last comparison; groups grow together in longer ones.
-SHORT = 3
+#: Turns in which groups grow together at most, lists that a set takes part in, and following sets of a list that it meets, in each.
+TURNS, OWN_LISTS, NEXT = 5, 2, 2
+#: Sets of one group that a set meets from which on answers are derived.
+DERIVE = 4
+#: Words of more bytes than this are hashed one by one.
+LONG_WORD = 64
 #: Bits of a filter on ids at most.
 FILTER_BITS = 27
 
@@ -50,6 +60,8 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> list[np.ndarra
     edge = np.diff(np.concatenate([[True], SPACE[spread], [True]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     words = span_hashes(prefix_sums(BYTE_VALUES[spread]), start, end)
+    for k in np.flatnonzero(end - start > LONG_WORD).tolist():
+        words[k] = int.from_bytes(hashlib.blake2b(spread[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
     first = np.searchsorted(start, off + np.arange(len(off)))
     factors = mix(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     whole = np.zeros(max(len(words) - size + 1, 0), np.uint64)
@@ -80,10 +92,20 @@ def sketch_of(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
-def apart(a: bytes, b: bytes) -> int:
-    """A lower bound for the number of hashes that are in one set only."""
-    x, y = (np.frombuffer(k, np.uint8).astype(np.int64) for k in ((a, b) if len(a) <= len(b) else (b, a)))
-    return int(np.abs(x - y.reshape(-1, len(x)).sum(0)).sum())
+def apart(sketches: np.ndarray, p: np.ndarray, q: np.ndarray, room: int = 1 << 22) -> np.ndarray:
+    """Lower bounds for the number of hashes that are in one set only, for pairs of sketches (``sketches[p]``, ``sketches[q]``)."""
+    out = np.zeros(len(p), np.int64)
+    size = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    flip = size[p] > size[q]
+    p, q = np.where(flip, q, p), np.where(flip, p, q)
+    kinds, kind = np.unique(size[p] << 32 | size[q], return_inverse=True)
+    for k, both in enumerate(kinds.tolist()):
+        short, long = both >> 32, both & 0xFFFFFFFF
+        mine = np.flatnonzero(kind == k)
+        for at in np.array_split(mine, 1 + len(mine) * long // room):
+            x, y = (np.frombuffer(b"".join(sketches[i[at]]), np.uint8).reshape(len(at), -1, short) for i in (p, q))
+            out[at] = np.abs(x.sum(1, dtype=np.int32) - y.sum(1, dtype=np.int32)).sum(1)
+    return out
 
 
 def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -95,7 +117,8 @@ SETS = pa.schema([("jk", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("sk
 POSTINGS = pa.schema([("token", pa.int64()), ("v", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
 LISTS = pa.schema([*POSTINGS, ("size", pa.int32())])
 PAIRS = pa.schema([("x", pa.int64()), ("y", pa.int64())])
-BOUNDED = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("spare", pa.int64())])
+OPEN = pa.schema([*PAIRS, ("cx", pa.int64()), ("cy", pa.int64()), ("spare", pa.int64())])
+OVERLAPS = pa.schema([*PAIRS, ("nx", pa.int64()), ("ny", pa.int64()), ("common", pa.int64())])
 COUNTS = pa.schema([("counts", pa.binary())])
 
 
@@ -184,18 +207,21 @@ def reachable(n1: np.ndarray, p1: np.ndarray, n2: np.ndarray, p2: np.ndarray, pe
 
 
 def whole_lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
-    """Runs of rows that hold whole lists, from rows sorted by token."""
-    rest: list[np.ndarray] | None = None
+    """Runs of rows that hold whole lists, from rows sorted by token; each row is copied twice at most."""
+    parts: list[list[np.ndarray]] = []
     for batch in batches:
-        part = [batch.column(c).to_numpy() for c in columns]
-        if rest is not None:
-            part = [np.concatenate(x) for x in zip(rest, part, strict=True)]
-        cut = int(np.searchsorted(part[0], part[0][-1])) if len(part[0]) else 0
-        if cut:
+        part = [batch.column(c).to_numpy() if c != "sketch" else np.array(batch.column(c).to_pylist(), object) for c in columns]
+        if not len(part[0]):
+            continue
+        cut = int(np.searchsorted(part[0], part[0][-1]))
+        if parts and (cut or part[0][0] != parts[-1][0][-1]):
+            yield [np.concatenate(x) for x in zip(*parts, [x[:cut] for x in part], strict=True)]
+            parts = []
+        elif cut:
             yield [x[:cut] for x in part]
-        rest = [x[cut:] for x in part]
-    if rest is not None and len(rest[0]):
-        yield rest
+        parts.append([x[cut:] for x in part])
+    if parts:
+        yield [np.concatenate(x) for x in zip(*parts, strict=True)]
 
 
 def has_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int, near: int = 64) -> np.ndarray:
@@ -241,7 +267,7 @@ def some_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
                 order = np.lexsort((mix(v.view(np.uint64) + np.uint64(turn)), token))
                 token, n, v, pos, comp = (x[order] for x in (token, n, v, pos, comp))
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            for d in range(1, 9 if turn else 3):
+            for d in range(1, NEXT + 1):
                 i = np.flatnonzero((token[d:] == token[:-d]) & (comp[d:] != comp[:-d]))
                 i = i[reachable(n[i], pos[i], n[i + d], pos[i + d], percent)]
                 if len(i):
@@ -250,54 +276,87 @@ def some_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos", "comp").mapInArrow(scan, ddl(PAIRS))
 
 
-def open_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of different components in lists (``token, n, v, pos, comp``)."""
+def own_lists(lists: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``OWN_LISTS`` rows of each set, those with the smallest hash of their token, so that similar sets choose alike.
+
+    Only rows from whose position a set of the same size can be reached.
+    """
+    near = lists.where(F.lit(100 + percent) * (F.col("n") - F.col("pos")) >= F.lit(2 * percent) * F.col("n"))
+    keyed = near.select("v", F.struct(F.xxhash64(F.lit(turn), "token").alias("h"), "token", "n", "pos").alias("r"))
+    least = keyed.groupBy("v").agg(*[F.min(F.when(F.pmod(F.xxhash64("r.token"), F.lit(OWN_LISTS)) == k, F.col("r"))).alias(f"r{k}") for k in range(OWN_LISTS)])
+    return least.select("v", F.explode(F.array(*[f"r{k}" for k in range(OWN_LISTS)])).alias("r")).where("r IS NOT NULL").select("r.token", "v", "r.n", "r.pos")
+
+
+def block_ranges(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, first, end): for each row, the run of a block's rows with which it can link; rows sorted by token, size and position.
+
+    Blocks are taken one after the other, a row's own first. A block is skipped whole if its size or the row's position
+    forbids all links or if all its rows are of the row's component.
+    """
+    head = np.concatenate([[True], (token[1:] != token[:-1]) | (n[1:] != n[:-1])])
+    start = np.flatnonzero(head)
+    stop = np.append(start[1:], len(token))
+    block = np.cumsum(head) - 1
+    wide = int(pos.max()) + 2
+    place = block * wide + pos
+    low, high = np.minimum.reduceat(comp, start), np.maximum.reduceat(comp, start)
+    i, d = np.arange(len(token)), 0
+    while len(i):
+        to = block[i] + d
+        there = to < len(start)
+        i, to = i[there], to[there]
+        there = (token[start[to]] == token[i]) & (100 * n[i] >= percent * n[start[to]])
+        i, to = i[there], to[there]
+        last = n[start[to]] - needed(n[i], n[start[to]], percent)
+        go = (pos[i] <= n[i] - needed(n[i], n[start[to]], percent)) & ((low[to] != comp[i]) | (high[to] != comp[i]))
+        begin = np.maximum(start[to], i + 1)
+        end = np.minimum(np.searchsorted(place, to * wide + np.minimum(last, wide - 2), "right"), stop[to])
+        go &= (end > begin) & (last >= 0)
+        yield i[go], begin[go], end[go]
+        d += 1
+
+
+def open_pairs(rows: DataFrame, percent: int, room: int = 1 << 18) -> DataFrame:
+    """Candidate pairs of different components in lists (``token, n, v, pos, comp, sketch``) whose bucket counts leave room for the needed overlap."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for token, n, v, pos, comp in whole_lists(batches, ["token", "n", "v", "pos", "comp"]):
+        for token, n, v, pos, comp, sketch in whole_lists(batches, ["token", "n", "v", "pos", "comp", "sketch"]):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            stop = np.repeat(np.append(first[1:], len(token)), np.diff(np.append(first, len(token))))
-            place = np.arange(len(token))
-            open_ = np.maximum.reduceat(comp, first) != np.minimum.reduceat(comp, first)
-            live = np.repeat(open_, np.diff(np.append(first, len(token))))
-            d, found = 1, []
-            while live.any():  # partners d places on; sizes ascend, so a list ends at its first partner that is too large
-                i = np.flatnonzero(live)
-                i = i[place[i] + d < stop[i]]
-                i = i[100 * n[i] >= percent * n[i + d]]
-                live = np.zeros(len(token), bool)
-                live[i] = True
-                ok = i[(comp[i] != comp[i + d]) & reachable(n[i], pos[i], n[i + d], pos[i + d], percent)]
-                found.append(np.column_stack([np.minimum(v[ok], v[ok + d]), np.maximum(v[ok], v[ok + d])]))
-                d += 1
-                if sum(map(len, found)) > 200_000:
-                    pairs, found = np.unique(np.concatenate(found), axis=0), []
-                    yield output(PAIRS, {"x": pairs[:, 0], "y": pairs[:, 1]})
-            if found and len(pairs := np.unique(np.concatenate(found), axis=0)):
-                yield output(PAIRS, {"x": pairs[:, 0], "y": pairs[:, 1]})
-
-    return rows.repartition("token").sortWithinPartitions("token", "n", "v").select("token", "n", "v", "pos", "comp").mapInArrow(scan, ddl(PAIRS))
+            for i, begin, end in block_ranges(token, n, pos, comp, percent):
+                for part in np.array_split(np.arange(len(i)), 1 + int((end - begin).sum()) // room):
+                    size = end[part] - begin[part]
+                    p = np.repeat(i[part], size)
+                    q = np.arange(len(p)) + np.repeat(begin[part] - (np.cumsum(size) - size), size)
+                    p, q = (x[comp[p] != comp[q]] for x in (p, q))
+                    p, q = np.where(v[p] < v[q], p, q), np.where(v[p] < v[q], q, p)
+                    once = np.unique(np.column_stack([v[p], v[q]]), axis=0, return_index=True)[1]
+                    p, q = p[once], q[once]
+                    spare = (n[p] + n[q] - apart(sketch, p, q)) // 2 - needed(n[p], n[q], percent)
+                    keep = spare >= 0
+                    p, q = p[keep], q[keep]
+                    if len(p):
+                        yield output(OPEN, {"x": v[p], "y": v[q], "cx": comp[p], "cy": comp[q], "spare": spare[keep]})
+
+    return rows.repartition("token").sortWithinPartitions("token", "n", "pos").select("token", "n", "v", "pos", "comp", "sketch").mapInArrow(scan, ddl(OPEN))
 
 
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs whose bucket counts leave room for the needed overlap, and how much to ``spare``."""
+    """Distinct pairs whose bucket counts leave room for the needed overlap."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
+            if k := batch.num_rows:
                 n1, n2 = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
-                far = np.fromiter(map(apart, batch.column("sx").to_pylist(), batch.column("sy").to_pylist()), np.int64, batch.num_rows)
-                spare = (n1 + n2 - far) // 2 - needed(n1, n2, percent)
-                keep = pa.array(spare >= 0)
-                yield output(BOUNDED, {"x": batch.column("x").filter(keep), "y": batch.column("y").filter(keep), "spare": pa.array(spare).filter(keep)})
+                far = apart(np.array(batch.column("sx").to_pylist() + batch.column("sy").to_pylist(), object), np.arange(k), k + np.arange(k))
+                keep = pa.array((n1 + n2 - far) // 2 >= needed(n1, n2, percent))
+                yield output(PAIRS, {"x": batch.column("x").filter(keep), "y": batch.column("y").filter(keep)})
 
     side = lambda k: classes.select(F.col("v").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    return pairs.distinct().join(side("x"), "x").join(side("y"), "y").mapInArrow(scan, ddl(BOUNDED))
+    return pairs.distinct().join(side("x"), "x").join(side("y"), "y").mapInArrow(scan, ddl(PAIRS))
 
 
-def verify(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that link, by their whole sets. ``texts_of``: ``v, text`` of each class."""
+def overlaps(pairs: DataFrame, texts_of: DataFrame, size: int) -> DataFrame:
+    """``x, y, nx, ny, common`` of distinct pairs, by their whole sets. ``texts_of``: ``v, text`` of each class."""
     spread = pairs.groupBy("x").agg(F.count("*").alias("k")).select("x", F.ceil(F.col("k") / FAN).cast("int").alias("parts"))
     dealt = pairs.join(spread, "x").withColumn("part", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int"))
     own = dealt.select("x", "part").distinct().select("x", "part", F.col("x").alias("v"), F.lit(0).alias("kind"))
@@ -308,7 +367,7 @@ def verify(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int) -> Da
         for batch in batches:
             for part, data, off in slices(batch, limit=1 << 20):
                 sets = shingle_sets(data, off, size)
-                x, y = [], []
+                out: list[tuple[int, ...]] = []
                 for s, a, v, kind in zip(sets, *(part.column(c).to_pylist() for c in ("x", "v", "kind")), strict=True):
                     if kind == 0:
                         mine, base = a, s
@@ -316,14 +375,30 @@ def verify(pairs: DataFrame, texts_of: DataFrame, size: int, percent: int) -> Da
                     assert mine == a
                     both = np.concatenate([base, s])
                     both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (len(base) + len(s) - common):
-                        x.append(a)
-                        y.append(v)
-                if x:
-                    yield output(PAIRS, {"x": x, "y": y})
+                    out.append((a, v, len(base), len(s), int((both[1:] == both[:-1]).sum())))
+                if out:
+                    yield output(OVERLAPS, dict(zip(OVERLAPS.names, zip(*out, strict=True), strict=True)))
+
+    return rows.repartition("x", "part").sortWithinPartitions("x", "part", "kind").select("x", "v", "kind", "text").mapInArrow(scan, ddl(OVERLAPS))
+
+
+def least_overlap(percent: int):  # noqa: ANN201
+    """``needed`` as a Column of ``nx`` and ``ny``."""
+    return F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / F.lit(100.0 + percent) - 1e-9)
+
+
+def linked(found: DataFrame, percent: int) -> DataFrame:
+    return found.where(100 * F.col("common") >= percent * (F.col("nx") + F.col("ny") - F.col("common"))).select("x", "y")
 
-    return rows.repartition("x", "part").sortWithinPartitions("x", "part", "kind").select("x", "v", "kind", "text").mapInArrow(scan, ddl(PAIRS))
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (``v, comp``, the smallest v of each group) after new links: only components are joined, by the links between them."""
+    at = lambda k: labels.select(F.col("v").alias(k), F.col("comp").alias(f"c{k}"))
+    named = links.join(at("x"), "x", "left").join(at("y"), "y", "left")
+    between = named.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).where("x <> y")
+    up = connected_components(between)
+    known = labels.join(up.select(F.col("v").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("v", F.coalesce("up", "comp").alias("comp"))
+    return materialize(known.union(up.join(labels, "v", "left_anti")), "labels")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -347,29 +422,61 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     labels = rows.select("v", F.col("v").alias("comp")).limit(0)
     if lists.limit(1).count():
         classes = materialize(rows.join(lists.select("v").distinct(), "v", "left_semi").groupBy("v").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.min("jk").alias("jk")), "classes")
-        edges = None
-        for turn in range(ROUNDS + 1):
-            part = lists if turn == ROUNDS else lists.where(F.col("size") > SHORT)
-            if turn < ROUNDS and part.limit(1).count() == 0:
-                continue
-            own = classes if turn == ROUNDS else classes.join(part.select("v").distinct(), "v", "left_semi")
-            labelled = part.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-            if turn < ROUNDS:
-                nth = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("spare"), "y"))
-                chosen = promising(some_pairs(labelled, percent, turn), own, percent).withColumn("nth", nth).where(F.col("nth") <= PARTNERS)
-            else:
-                chosen = promising(open_pairs(labelled, percent), own, percent)
-            pairs = materialize(chosen.select("x", "y"), f"pairs{turn}")
+
+        def compared(pairs: DataFrame) -> DataFrame:
             ends = pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct()
-            found = verify(pairs, class_texts(keyed, own.join(ends, "v", "left_semi").select("v", "jk"), size), size, percent)
-            edges = materialize(found if edges is None else edges.union(found), f"edges{turn}")
-            labels = connected_components(edges)
+            wanted = classes.join(ends, "v", "left_semi").select("v", "jk")
+            return materialize(overlaps(pairs, class_texts(keyed, wanted, size), size), "overlaps")
+
+        for turn in range(TURNS):
+            part = own_lists(lists, percent, turn).join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+            pairs = materialize(promising(some_pairs(part, percent, turn), classes, percent), f"pairs{turn}")
+            links = linked(compared(pairs), percent)
+            labels = merged(labels, links)
+            if 50 * links.count() < classes.count():  # groups have grown as far as this finds them
+                break
+        part = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+        mixed = part.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+        part = part.join(mixed, "token", "left_semi").join(classes.select("v", "sketch"), "v")
+        pairs = materialize(open_pairs(part, percent).distinct(), "open")
+        if pairs.limit(1).count():
+            labels = settled(pairs, labels, compared, percent)
     joined = rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
     least = joined.where("n > 0").groupBy("comp").agg(F.min("jk").alias("component"))
     out = joined.join(least, "comp", "left")
     return out.select(F.col("jk").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("jk")).alias("component_id"))
 
 
+def settled(pairs: DataFrame, labels: DataFrame, compared: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Labels after all links among candidate pairs (``x, y, cx, cy, spare``).
+
+    Each set is first compared with its most promising partner, and, where it meets ``DERIVE`` or more sets of a group,
+    with the group's smallest set R, its label. What these answers decide, or bring into one component, is not compared.
+    """
+    both = pairs.select("x", "y", F.col("cy").alias("r"), "spare").union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("cx").alias("r"), "spare"))
+    best = both.groupBy("x").agg(F.max(F.struct("spare", "y")).alias("o")).select("x", F.col("o.y").alias("y"))
+    many = materialize(both.groupBy("x", "r").agg(F.count("*").alias("met")).where(F.col("met") >= DERIVE), "many")
+    # each pair once: by the group that holds more of the partners
+    told = both.join(many, ["x", "r"]).select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.struct("met", "r", F.col("x").alias("a"), F.col("y").alias("b")).alias("o"))
+    told = materialize(told.groupBy("p", "q").agg(F.max("o").alias("o")).select("p", "q", F.col("o.r").alias("r"), F.col("o.a").alias("a"), F.col("o.b").alias("b")), "told")
+    ends = told.select(F.explode(F.array("a", "b")).alias("x"), F.col("r").alias("y")).distinct().where("x <> y")
+    found = compared(best.union(ends).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+    turned = found.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ny").alias("nx"), F.col("nx").alias("ny"), "common")
+    answers = found.union(turned).join(ends.select("x", "y"), ["x", "y"], "left_semi").select(F.col("y").alias("r"), F.col("x").alias("v"), F.col("ny").alias("nr"), F.col("nx").alias("n"), "common")
+    own = answers.select("r", F.col("r").alias("v"), "nr", F.col("nr").alias("n"), F.col("nr").alias("common")).distinct()  # R meets itself with its whole set
+    answers = materialize(answers.union(own), "answers")
+    side = lambda k, n: answers.select("r", "nr", F.col("v").alias(k), F.col("n").alias(n), F.col("common").alias(f"c{k}"))
+    known = told.join(side("a", "nx"), ["r", "a"]).join(side("b", "ny").drop("nr"), ["r", "b"]).withColumn("needed", least_overlap(percent))
+    known = known.withColumn("most", F.least(F.col("ca") + F.col("ny") - F.col("cb"), F.col("cb") + F.col("nx") - F.col("ca"))).withColumn("least", F.col("ca") + F.col("cb") - F.col("nr"))
+    known = materialize(known.select(F.col("p").alias("x"), F.col("q").alias("y"), "needed", "most", "least"), "known")
+    labels = merged(labels, linked(found, percent).union(known.where("least >= needed").select("x", "y")))
+    decided = known.where("most < needed").select("x", "y").union(found.select("x", "y"))
+    at = lambda k: labels.select(F.col("v").alias(k), F.col("comp").alias(f"now{k}"))
+    rest = pairs.select("x", "y").join(at("x"), "x", "left").join(at("y"), "y", "left").where(F.coalesce("nowx", "x") != F.coalesce("nowy", "y"))
+    rest = materialize(rest.select("x", "y").join(decided, ["x", "y"], "left_anti"), "rest")
+    return merged(labels, linked(compared(rest), percent)) if rest.limit(1).count() else labels
+
+
 def slots(ids: np.ndarray, bits: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0xC0FFEE)) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -418,4 +525,5 @@ def class_texts(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     # rows that share an id can differ in text, so the class is taken from the text
     named = keyed.where(F.col("jk").isNotNull()).mapInArrow(scan, schema).join(wanted, ["v", "jk"], "left_semi")
     nameless = keyed.where(F.col("jk").isNull()).dropDuplicates(["text"]).mapInArrow(scan, schema).join(wanted.where(F.col("jk").isNull()), "v", "left_semi")
-    return named.select("v", "text").union(nameless.groupBy("v").agg(F.first("text").alias("text")))
+    # repeated rows share an id and a class; one text of each class goes on
+    return named.select("v", "text").union(nameless.select("v", "text")).groupBy("v").agg(F.first("text").alias("text"))

@@ -63,7 +63,45 @@ def test_bounds_never_drop_a_link():
         a = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
         b = np.unique(np.concatenate([a[rng.integers(0, 30) :], rng.integers(0, 2**63, 20, dtype=np.uint64)]))
         apart = len(np.setxor1d(a, b))
-        assert J.apart(J.sketch_of(a), J.sketch_of(b)) <= apart
+        both = np.array([J.sketch_of(a), J.sketch_of(b)], object)
+        assert J.apart(both, np.array([0, 1]), np.array([1, 0])).max() <= apart
+
+
+def test_blocks_hold_all_reachable_pairs():
+    """Skipping whole blocks finds what testing each pair by size and position finds."""
+    rng = np.random.default_rng(2)
+    rows = sorted((int(t), int(n), int(rng.integers(0, max(1, n // 5)))) for t, n in zip(rng.integers(0, 6, 400), rng.integers(1, 60, 400), strict=True))
+    token, n, pos = (np.array(x) for x in zip(*rows, strict=True))
+    comp = rng.integers(0, 30, 400)
+    got = {(i, j) for i_, a_, b_ in J.block_ranges(token, n, pos, comp, 80) for i, a, b in zip(i_.tolist(), a_.tolist(), b_.tolist(), strict=True) for j in range(a, b) if comp[i] != comp[j]}
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if token[i] == token[j] and comp[i] != comp[j] and J.reachable(n[i], pos[i], n[j], pos[j], 80)}
+    assert want and got == want
+
+
+def test_a_dense_group_among_outsiders(spark):
+    """Many near copies of one text, texts just outside, and repeated rows: answers derived from one set leave the result whole."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(90)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in rng.integers(0, 90, rng.integers(0, 3) if i % 4 else rng.integers(3, 7)):
+            w[k] = f"e{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500, rows[0][1])] * 40 + [(None, rows[0][1])] * 40
+    want = brute(rows)
+    assert 3 < len({r[2] for r in want}) < 100
+    same(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), want)
+
+
+def test_long_words_are_told_apart():
+    """Words that a polynomial modulo 2**64 cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    data = np.frombuffer(f"{a} {b}".encode(), np.uint8)
+    one, two = J.shingle_sets(data[: len(a)], np.array([0, len(a)]), 4) + J.shingle_sets(data[len(a) + 1 :], np.array([0, len(b)]), 4)
+    assert one[0] != two[0]
 
 
 def test_components(spark):
