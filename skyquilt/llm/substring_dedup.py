@@ -11,6 +11,9 @@ first, and each newly met right end of an interval has the current level as its
 An anchor with many different stretches (the edge of a passage that many documents share) is
 narrowed: its strings are dealt by their distance from the anchor and by what all strings of such a
 range have in common, down to single strings if need be, so that no group grows with the corpus.
+
+Stretches are told apart by 64-bit hashes of the hashes of all short strings in them: two steps with
+a non-linear mix between, so that no text makes them collide by construction.
 """
 
 from __future__ import annotations
@@ -57,7 +60,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int, gram: int) -> tuple[
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])]))
     size = np.diff(np.append(new, len(start)))
     first, text, anchor = start[new], text[new], anchor[new]
-    stretch = span_hashes(total, first, first + size + length - 1)
+    stretch = span_hashes(prefix_sums(h), first, first + size + length - gram)
     return text, first - off[:-1][text], size, anchor - first, h[anchor], stretch
 
 
@@ -181,7 +184,7 @@ def grouped(stretches: DataFrame, *origin: str) -> DataFrame:
 
 
 def expand(stretches: DataFrame, length: int) -> DataFrame:
-    """``g, s, spans`` of stretches (``g, s, n, data``): repeated bytes as start, end, start, end, ... within the stretch."""
+    """``g, s, spans`` of stretches (``g, s, n, data``; repeated rows count once): repeated bytes as start, end, start, end, ... within the stretch."""
 
     def solve(part: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
         off = np.concatenate([[0], np.cumsum([len(x[3]) for x in part])]).astype(np.int64)
@@ -203,12 +206,13 @@ def expand(stretches: DataFrame, length: int) -> DataFrame:
                 if size >= BATCH and row[0] != part[-1][0]:
                     yield solve(part)
                     part, size = [], 0
-                part.append(row)
-                size += len(row[3])
+                if not part or row[:2] != part[-1][:2]:
+                    part.append(row)
+                    size += len(row[3])
         if part:
             yield solve(part)
 
-    return stretches.select("g", "s", "n", "data").repartition("g").sortWithinPartitions("g").mapInArrow(scan, ddl(REPEATS))
+    return stretches.select("g", "s", "n", "data").repartition("g").sortWithinPartitions("g", "s").mapInArrow(scan, ddl(REPEATS))
 
 
 def narrow(stretches: DataFrame, step: int, length: int) -> DataFrame:
@@ -228,12 +232,15 @@ def narrow(stretches: DataFrame, step: int, length: int) -> DataFrame:
             r = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number) + low[row]
             a = np.maximum(back[row] - (r * step + step - 1), 0)
             b = np.minimum(back[row] - r * step, starts[row] - 1)
+            k = max(1, min(16, length - step + 1))
             total = prefix_sums(BYTE_VALUES[data])
+            at = np.arange(max(len(data) - k + 1, 0))
+            total = prefix_sums(span_hashes(total, at, at + k))
             # what every string of the range holds: from its last start to its first end
             core_a, core_b = back[row] - r * step, back[row] - (r * step + step - 1) + length
-            core = span_hashes(total, off[row] + core_a, off[row] + core_b) if len(row) else np.zeros(0, np.uint64)
+            core = span_hashes(total, off[row] + core_a, off[row] + core_b - k + 1) if len(row) else np.zeros(0, np.uint64)
             g = mix(core ^ mix(batch.column("g").to_numpy().astype(np.int64).view(np.uint64)[row] + r.astype(np.uint64)))
-            s = span_hashes(total, off[row] + a, off[row] + b + length)
+            s = span_hashes(total, off[row] + a, off[row] + b + length - k + 1)
             take = pa.array(row)
             yield output(LINKS, {"pg": batch.column("g").take(take), "ps": batch.column("s").take(take), "g": signed(g), "s": signed(s), "a": a, "starts": b - a + 1, "back": back[row] - a, "n": batch.column("n").take(take)})
 
@@ -254,7 +261,7 @@ def repeats_of(candidates: DataFrame, data: DataFrame, steps: tuple[int, ...], l
     found = repeats_of(parts, part_data, steps[1:], length, group)
     back = links.join(found, ["g", "s"]).select("pg", "ps", F.transform("spans", lambda x: x + F.col("a")).alias("spans"))
     # one row for each stretch, so that its many places meet it once
-    whole = back.groupBy("pg", "ps").agg(F.flatten(F.collect_list("spans")).alias("spans")).select(F.col("pg").alias("g"), F.col("ps").alias("s"), "spans")
+    whole = back.groupBy("pg", "ps").agg(F.flatten(F.collect_set("spans")).alias("spans")).select(F.col("pg").alias("g"), F.col("ps").alias("s"), "spans")
     return small.union(whole)
 
 
@@ -268,7 +275,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     document or the same one; strings are judged on the input. ``spans`` are the maximal removed
     runs as start, end, start, end, ... in UTF-8 bytes. Null and empty texts have no bytes and the
     digest of nothing; texts below ``length`` bytes lose none. Repeated rows are documents that
-    repeat each other. An empty table gives an empty result; only doc_id and text are used.
+    repeat each other; work stays in proportion to their number. An empty table gives an empty result; only doc_id and text are used.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be between 1 and length")
@@ -278,10 +285,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     found = materialize(find_anchors(keyed.where(F.octet_length("text") >= length).select("jk", "tk", "text"), length, gram), "anchors")
     candidates = materialize(grouped(found.withColumn("n", F.lit(1).cast("long")), "jk", "tk", "pos"), "candidates")
     cut = F.expr(f"substring(cast(text as binary), cast(pos + 1 as int), starts + {length - 1})")
+    # rows that are equal in doc_id and text each bring the same bytes; expand takes them once
     data = candidates.join(keyed, ["jk", "tk"]).select("g", "s", "n", "back", "variants", cut.alias("data"))
     repeats = repeats_of(candidates, data, STEPS, length, group)
     places = found.select("jk", "tk", "pos", "g", "s").join(repeats, ["g", "s"])
-    spans = places.select("jk", "tk", F.transform("spans", lambda x: x + F.col("pos")).alias("spans")).groupBy("jk", "tk").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = places.select("jk", "tk", F.transform("spans", lambda x: x + F.col("pos")).alias("spans")).groupBy("jk", "tk").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

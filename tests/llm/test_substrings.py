@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from llm_helpers import same
 from skyquilt.llm import substring_dedup as S
@@ -29,6 +30,25 @@ def test_against_brute_force(docs, corpus, gram, group):
     same(got, brute(corpus, 60))
 
 
+def test_at_400_bytes_with_repeated_rows(spark):
+    """The production length, on passages of 399 to 900 bytes, and many equal rows, with and without an id."""
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passages = [word(n) for n in (399, 400, 401, 650, 900)]
+    rows = [(i, word(int(rng.integers(0, 500))) + passages[i % 5] + "é" + word(30)) for i in range(25)]
+    rows += [(100, rows[3][1])] * 60 + [(None, word(849))] * 60 + [(None, None), (101, "")]
+    got = S.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    same(got, brute(rows, 400))
+
+
+def test_repeated_rows_in_proportion(spark):
+    """Ten thousand equal rows, half of them without an id."""
+    text = "".join(map(chr, np.random.default_rng(4).integers(97, 123, 849)))
+    rows = spark.range(10_000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 END AS doc_id").withColumn("text", F.lit(text))
+    got = S.remove_repeats(rows).groupBy("n_bytes", "n_removed", "n_spans").count().collect()
+    assert [tuple(r) for r in got] == [(849, 849, 1, 10_000)]
+
+
 def test_empty_table_and_bad_limits(nothing, docs):
     assert S.remove_repeats(nothing).count() == 0
     with pytest.raises(ValueError, match="gram"):
