@@ -1,8 +1,9 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
-Each line has a hash; a rolling hash over the last three line hashes decides where a chunk ends, so
-boundaries move with the content and an insertion shifts only its own chunk. Chunks of two lines
-or more that occur more than once in the corpus are removed, all but the first.
+Each line has a hash; a rolling hash over the last two line hashes decides where a chunk ends, so
+boundaries move with the content and an insertion shifts only its own chunk. A long line is a chunk
+of its own: chunks end before and after it, whatever stands there. Chunks of two lines or more, and
+long lines, that occur more than once in the corpus are removed, all but the first.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A chunk ends where the rolling hash is 0 modulo this: the mean number of lines.
-MEAN_LINES = 4
+#: A chunk ends where the rolling hash is 0 modulo this: the mean number of short lines.
+MEAN_LINES = 2
 MIN_LINES = 2
 MIN_CHARS = 32
+#: Lines of this many characters are chunks of their own.
+LONG_CHARS = 80
 NO_ID = -(2**63)
 ADDED = ("n_lines", "n_removed_chunks", "n_removed_lines")
 
@@ -25,24 +28,26 @@ def line_hashes(lines: Column) -> Column:
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 6), 16, 10).cast("long"))
 
 
-def chunk_ends(hashes: Column, mean_lines: int) -> Column:
+def chunk_ends(lines: Column, hashes: Column, mean_lines: int) -> Column:
     """Indexes of the last line of each chunk; the last line always ends one."""
-    def before(i: Column, k: int) -> Column:
-        return F.coalesce(F.get(hashes, i - k), F.lit(0))
-
     def end(h: Column, i: Column) -> Column:
-        rolled = (before(i, 2) * ROLL * ROLL + before(i, 1) * ROLL + h) % MODULUS
-        return F.when((rolled % mean_lines == 0) | (i == F.size(hashes) - 1), i)
+        rolled = (F.coalesce(F.get(hashes, i - 1), F.lit(0)) * ROLL + h) % MODULUS
+        longest = F.greatest(F.length(F.get(lines, i)), F.length(F.coalesce(F.get(lines, i + 1), F.lit(""))))
+        return F.when((rolled % mean_lines == 0) | (longest >= LONG_CHARS) | (i == F.size(hashes) - 1), i)
 
     return F.filter(F.transform(hashes, end), lambda x: x.isNotNull())
 
 
-def with_lines(docs: DataFrame, mean_lines: int, *keep: str) -> DataFrame:
-    """``keep`` and ``c_doc, c_key`` (doc_id and text hash: what is equal in both is chunked alike), ``c_lines, c_ends``."""
-    raw = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("c_doc"), F.xxhash64(raw).alias("c_key"), F.split(raw, "\n", -1).alias("c_lines"))
+def with_keys(docs: DataFrame) -> DataFrame:
+    """docs with ``c_doc, c_key``: doc_id and text hash; what is equal in both is chunked alike."""
+    return docs.withColumns({"c_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "c_key": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+
+
+def with_lines(rows: DataFrame, mean_lines: int) -> DataFrame:
+    """rows with ``c_lines, c_ends``."""
+    rows = rows.withColumn("c_lines", F.split(F.coalesce(F.col("text"), F.lit("")), "\n", -1))
     rows = rows.withColumn("c_hashes", line_hashes(F.col("c_lines")))
-    return rows.withColumn("c_ends", chunk_ends(F.col("c_hashes"), mean_lines)).drop("c_hashes")
+    return rows.withColumn("c_ends", chunk_ends(F.col("c_lines"), F.col("c_hashes"), mean_lines)).drop("c_hashes")
 
 
 def chunk_start(k: Column) -> Column:
@@ -52,8 +57,8 @@ def chunk_start(k: Column) -> Column:
 def chunks(rows: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
     """A row for each chunk that is long enough: ``c_doc, c_key, k, chunk``."""
     spans = F.transform("c_ends", lambda e, k: F.struct(k.alias("k"), chunk_start(k).alias("a"), (e - chunk_start(k) + 1).alias("n")))
-    long = F.filter(spans, lambda s: s["n"] >= min_lines)
-    exploded = rows.select("c_doc", "c_key", "c_lines", F.explode(long).alias("s"))
+    counted = F.filter(spans, lambda s: (s["n"] >= min_lines) | (F.length(F.get("c_lines", s["a"])) >= LONG_CHARS))
+    exploded = rows.select("c_doc", "c_key", "c_lines", F.explode(counted).alias("s"))
     text = F.array_join(F.slice("c_lines", F.col("s.a") + 1, F.col("s.n")), "\n")
     return exploded.select("c_doc", "c_key", F.col("s.k").alias("k"), text.alias("chunk")).where(F.length("chunk") >= min_chars)
 
@@ -61,24 +66,26 @@ def chunks(rows: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
 def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with repeated chunks cut from ``text``, and ``n_lines, n_removed_chunks, n_removed_lines``.
 
-    A chunk counts if it has ``min_lines`` lines and ``min_chars`` characters. Of equal chunks the
-    one of the smallest doc_id (null first) and then the first in its text stays. Chunks meet by
-    hash and are compared byte by byte; where different chunks share a hash, none of them is
-    removed. Null text stays null and has one empty line; a text that loses all chunks becomes
+    A chunk counts if it has ``min_lines`` lines or is a long line, and has ``min_chars`` characters.
+    Of equal chunks the one of the smallest doc_id (null first) and then the first in its text stays.
+    Chunks meet by hash and are compared byte by byte; where different chunks share a hash, none of
+    them is removed. Null text stays null and has one empty line; a text that loses all chunks becomes
     empty. Rows that share doc_id and text are one document and lose the same chunks. An empty table
     gives an empty result; columns of docs named like the added ones are replaced.
     """
-    found = chunks(with_lines(docs, mean_lines), min_lines, min_chars).withColumn("hash", F.xxhash64("chunk"))
+    names = [c for c in docs.columns if c not in ADDED]
+    found = chunks(with_lines(with_keys(docs.select("doc_id", "text")), mean_lines), min_lines, min_chars).withColumn("hash", F.xxhash64("chunk"))
     # grouping by the text itself is the comparison of bytes
     equal = found.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min("c_doc").alias("first_doc"))
     repeated = equal.select("hash", "n", "first_doc").groupBy("hash").agg(F.count("*").alias("texts"), F.max("n").alias("n"), F.min("first_doc").alias("first_doc")).where("texts = 1 AND n > 1")
-    places = found.select("c_doc", "c_key", "k", "hash").join(repeated.select("hash", "first_doc"), "hash").distinct()
-    order = W.partitionBy("c_doc", "c_key", "hash").orderBy("k")
-    extra = places.withColumn("nth", F.row_number().over(order)).where("c_doc > first_doc OR nth > 1")
-    gone = extra.groupBy("c_doc", "c_key").agg(F.collect_list("k").alias("c_gone"))
-
-    names = [c for c in docs.columns if c not in ADDED]
-    rows = with_lines(docs, mean_lines, *names).join(gone, ["c_doc", "c_key"], "left")
+    # nothing between the join and its next exchange needs a hash's rows together, so that a hot one can be split
+    places = found.select("c_doc", "c_key", "k", "hash").join(repeated.select("hash", "first_doc"), "hash")
+    own = places.groupBy("c_doc", "c_key").agg(F.array_sort(F.collect_set(F.struct("hash", "k", "first_doc"))).alias("c_own"))
+    again = lambda x, i: F.coalesce(F.get(F.col("c_own"), i - 1)["hash"] == x["hash"], F.lit(False))
+    extra = F.transform("c_own", lambda x, i: F.when((F.col("c_doc") > x["first_doc"]) | again(x, i), x["k"]))
+    gone = own.select("c_doc", "c_key", F.array_compact(extra).alias("c_gone")).where(F.size("c_gone") > 0)
+
+    rows = with_lines(with_keys(docs.select(*names)).join(gone, ["c_doc", "c_key"], "left"), mean_lines)
     kept = F.array_except(F.sequence(F.lit(0), F.size("c_ends") - 1), F.col("c_gone"))
     parts = F.transform(kept, lambda k: F.slice(F.col("c_lines"), chunk_start(k) + 1, F.get(F.col("c_ends"), k) - chunk_start(k) + 1))
     rows = rows.withColumn("c_left", F.when(F.col("c_gone").isNotNull(), F.flatten(parts)))
@@ -100,14 +107,14 @@ WITH lines AS (
 ), valued AS (
   SELECT *, ('0x' || md5(line)[1:6])::BIGINT AS h FROM hashed
 ), rolled AS (
-  SELECT *, ((coalesce(lag(h, 2) OVER w, 0) * {ROLL * ROLL} + coalesce(lag(h, 1) OVER w, 0) * {ROLL} + h) % {MODULUS} % {MEAN_LINES} = 0 OR i = n)::INT AS is_end
+  SELECT *, ((coalesce(lag(h, 1) OVER w, 0) * {ROLL} + h) % {MODULUS} % {MEAN_LINES} = 0 OR greatest(length(line), coalesce(length(lead(line, 1) OVER w), 0)) >= {LONG_CHARS} OR i = n)::INT AS is_end
   FROM valued WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), numbered AS (
   SELECT *, coalesce(sum(is_end) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM rolled
 ), chunked AS (
-  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_in FROM numbered GROUP BY doc_id, k
+  SELECT doc_id, k, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n_in, count(*) >= {MIN_LINES} OR max(length(line)) >= {LONG_CHARS} AS counts FROM numbered GROUP BY doc_id, k
 ), ranked AS (
-  SELECT *, n_in >= {MIN_LINES} AND length(chunk) >= {MIN_CHARS} AND row_number() OVER (PARTITION BY chunk, n_in >= {MIN_LINES} ORDER BY doc_id, k) > 1 AS gone FROM chunked
+  SELECT *, counts AND length(chunk) >= {MIN_CHARS} AND row_number() OVER (PARTITION BY chunk, counts ORDER BY doc_id, k) > 1 AS gone FROM chunked
 )
 SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text, sum(n_in)::BIGINT AS n_lines,
   count(*) FILTER (gone) AS n_removed_chunks, coalesce(sum(n_in) FILTER (gone), 0)::BIGINT AS n_removed_lines

@@ -14,8 +14,8 @@ def chunks(text):
     out, part = [], []
     for i, x in enumerate(lines):
         part.append(x)
-        rolled = ((h[i - 2] if i > 1 else 0) * L.ROLL**2 + (h[i - 1] if i else 0) * L.ROLL + h[i]) % L.MODULUS
-        if rolled % L.MEAN_LINES == 0 or i == len(lines) - 1:
+        rolled = ((h[i - 1] if i else 0) * L.ROLL + h[i]) % L.MODULUS
+        if rolled % L.MEAN_LINES == 0 or i == len(lines) - 1 or max(len(x), len(lines[i + 1])) >= L.LONG_CHARS:
             out.append(part)
             part = []
     return out
@@ -26,7 +26,7 @@ def brute(rows):
     cut = [chunks(t) for _, t in rows]
     for (doc, _), parts in zip(rows, cut, strict=True):
         for k, p in enumerate(parts):
-            if len(p) >= 2 and len("\n".join(p)) >= L.MIN_CHARS:
+            if (len(p) >= 2 or len(p[0]) >= L.LONG_CHARS) and len("\n".join(p)) >= L.MIN_CHARS:
                 at = (-(2**63) if doc is None else doc, k)
                 first[tuple(p)] = min(first.get(tuple(p), at), at)
     out = []
@@ -48,6 +48,19 @@ def test_lines_against_brute_force(spark, corpus, nothing):
     assert L.remove_repeated_chunks(nothing).count() == 0
 
 
+def test_passages_of_long_lines_are_caught_whole(spark):
+    """Passages of over 50 words, in one line or three, go from all documents but the first; what is around them stays."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passages = [[line(55)], [line(25), line(20), line(22)]]
+    rows = [(i, "\n".join([line(rng.randint(1, 30)) for _ in range(2)] + passages[i % 2] + [line(4)])) for i in range(12)]
+    got = {r.doc_id: r.text for r in L.remove_repeated_chunks(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        lines = text.split("\n")
+        assert got[i].split("\n") == (lines if i < 2 else lines[:2] + lines[-1:])
+
+
 def test_extra_columns_stay(docs):
     clash = docs.withColumnRenamed("score", "n_lines")
     got = L.remove_repeated_chunks(clash)
@@ -82,3 +95,34 @@ def test_battery_tells_keys_from_text(spark, nothing):
     got = {r.doc_id: r.spans for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any("random" in got[i] for i in range(15)) and sum(got[i] == "random:2:42" for i in range(15, 65)) >= 45
     assert S.find_secrets(nothing).count() == 0
+
+
+def test_keys_inside_assignments_and_paths(spark):
+    """Names before "=" and folders before a key do not hide it."""
+    rng = random.Random(8)
+    key = lambda n, extra="": "".join(rng.choice(string.ascii_letters + string.digits + extra) for _ in range(n))
+    rows = [(i, f) for i in range(40) for f in (f"AWS_KEY={key(40)} x", f"see https://host.example/my-path/{key(44)} now", f"u?sig={key(43, '-_')}&v=1")]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.spans for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [sum("random:" in got[i] for i in range(k, 120, 3)) for k in range(3)]
+    assert min(found) >= 15, found  # few strings in a stratum: about half are reported
+
+
+def test_false_discoveries_stay_below_the_limit(spark):
+    """Planted keys among text that looks like keys: the share of text among what is reported, and the share of keys found."""
+    rng = random.Random(9)
+    syllables = "an be co du el fi go ha in jo ka lu me no op pe qu ra su ti un ve wo xi yo".split()
+    keys = ["".join(rng.choice(string.ascii_lowercase + string.digits) for _ in range(rng.randint(24, 60))) for _ in range(400)]
+    text = ["".join(rng.choice(syllables) for _ in range(rng.randint(12, 30))) for _ in range(400)]
+    rows = list(enumerate(keys + text))
+    got = {r.doc_id: "random:" in r.spans for r in S.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught, false = sum(got[i] for i in range(400)), sum(got[i] for i in range(400, 800))
+    print("keys found", caught, "of 400; text among what is reported", false, "of", caught + false)
+    assert caught >= 190 and false <= 0.05 * (caught + false)
+
+
+def test_positions_beyond_one_block(spark):
+    """More matches in a text than are numbered at once."""
+    text = " ".join(f"é token={i:010d}" for i in range(300))
+    got = S.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_assign, got.n_access, got.n_hex, got.base_sha256) == base(text)
