@@ -3,8 +3,8 @@
 A run of texts is cut into pieces at places across which no pre-token reaches: before a space
 after a non-space, around a lone newline, and between a letter and a full stop or comma. So the ids
 of the pieces, in order, are the ids of the whole text. Pieces are found and looked up by 64-bit
-hash with numpy; the library encodes each piece that a worker has not met yet, many in one call.
-Two of a worker's pieces share a hash with a chance below 1 in a million.
+hash with numpy, and every piece is compared byte by byte with the one that is kept under its hash;
+the library encodes each piece that a worker has not met yet, many in one call.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ import numpy as np
 
 from skyquilt.llm.common import BYTE_VALUES, prefix_sums, span_hashes
 
+#: Bytes of pieces that a worker keeps.
+RAW_BYTES = 64 << 20
 #: A private-use character that no ordinary piece holds.
 MARK = ""
 
@@ -97,6 +99,9 @@ class Encoder:
         self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
         self.pool, self.used = np.zeros(1 << 17, np.uint32), 1
         self.pool[0], self.size[0] = self.end_id, 1  # piece 0 is the end of a text
+        self.at, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.raw, self.kept = np.zeros(1 << 18, np.uint8), 0
+        self.others: dict[bytes, int] = {}  # pieces whose hash another piece has
 
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -107,7 +112,9 @@ class Encoder:
             return MARK not in piece
         return "\n" not in piece and not piece[-1:].isspace() and not piece[piece[:1] == " " :][:1].isspace()
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def learn(self, raw: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces."""
+        pieces = [x.decode() for x in raw]
         mark, n = self.mark, len(self.mark)
         ids: list[np.ndarray | None] = [None] * len(pieces)
         joint = [k for k, p in enumerate(pieces) if self.joinable(p)]
@@ -125,22 +132,44 @@ class Encoder:
         size = np.fromiter(map(len, ids), np.int32, len(ids))
         total = int(size.sum())
         while self.n + len(ids) > len(self.size):
-            self.first, self.size = np.concatenate([self.first, np.zeros_like(self.first)]), np.concatenate([self.size, np.zeros_like(self.size)])
+            self.first, self.size, self.at, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.size, self.at, self.length))
         while self.used + total > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         numbers = np.arange(self.n, self.n + len(ids))
         self.size[numbers], self.first[numbers] = size, self.used + np.cumsum(size) - size
         self.pool[self.used : self.used + total] = np.concatenate(ids)
-        self.n, self.used = self.n + len(ids), self.used + total
+        length = np.fromiter(map(len, raw), np.int32, len(raw))
+        while self.kept + int(length.sum()) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros_like(self.raw)])
+        self.length[numbers], self.at[numbers] = length, self.kept + np.cumsum(length) - length
+        self.raw[self.kept : self.kept + int(length.sum())] = np.frombuffer(b"".join(raw), np.uint8)
+        self.n, self.used, self.kept = self.n + len(ids), self.used + total, self.kept + int(length.sum())
+        return numbers.astype(np.int32)
+
+    def learn_keys(self, keys: np.ndarray, raw: list[bytes]) -> None:
+        numbers = self.learn(raw)
         if 2 * self.n > len(self.table.keys):
             old, self.table = self.table, Table(max(16, int(4 * self.n).bit_length()))
             full = old.keys != 0
             self.table.put(old.keys[full], old.values[full])
-        self.table.put(keys, numbers.astype(np.int32))
+        self.table.put(keys, numbers)
+
+    def corrected(self, found: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Piece numbers with those put right whose bytes differ from the kept ones."""
+        size = end - start
+        differs = self.length[found] != size
+        at = np.repeat(self.at[found] - start, size) + np.arange(len(data))
+        differs |= np.logical_or.reduceat(self.raw[np.minimum(at, len(self.raw) - 1)] != data, start)
+        for k in np.flatnonzero(differs).tolist():
+            raw = data[start[k] : end[k]].tobytes()
+            if raw not in self.others:
+                self.others[raw] = int(self.learn([raw])[0])
+            found[k] = self.others[raw]
+        return found
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, each with its end id; number of ids of each text)."""
-        if self.n > self.limit:
+        if self.n > self.limit or self.kept > RAW_BYTES:
             self.clear()
         start = cuts(data, off) if len(data) else np.zeros(0, np.int64)
         end = np.append(start[1:], len(data)) if len(start) else start
@@ -151,8 +180,10 @@ class Encoder:
         if len(missing):
             new, at = np.unique(keys[missing], return_index=True)
             a, b, raw = start[missing[at]].tolist(), end[missing[at]].tolist(), data.tobytes()
-            self.learn(new, [raw[i:j].decode() for i, j in zip(a, b, strict=True)])
+            self.learn_keys(new, [raw[i:j] for i, j in zip(a, b, strict=True)])
             found[missing] = self.table.get(keys[missing])
+        if len(start):
+            found = self.corrected(found, data, start, end)
         # after a text's last piece comes its end
         last = np.searchsorted(start, off[1:])
         pieces = np.insert(found, last, 0)

@@ -25,7 +25,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     """Encode whole texts (null: empty), end each with ``end_id``, and write them in ascending doc_id order.
 
     Files follow one another by ``part``; rows without doc_id come first, repeated ids stay next to
-    each other in the order of their texts. An empty table writes no rows.
+    each other in the order of their texts' hashes, and ranges may end between them. An empty table
+    writes no rows.
     """
     bound_batches(docs.sparkSession)
 
@@ -39,7 +40,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 yield pa.record_batch([rows.column("doc_id"), pa.array(np.full(len(n), part, np.int32)), pa.array(at + ends - n), pa.array(n), ids], schema=STORED)
                 at += int(ends[-1])
 
-    ordered = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("h", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(encode, ddl(STORED)).write.options(**FORMAT).parquet(path)
 
 
