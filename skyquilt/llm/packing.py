@@ -149,13 +149,13 @@ PLACES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAND_PIECES, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, elites: int = ELITES) -> DataFrame:
     """pieces with ``sequence_id`` and ``offset``, in as few sequences as found.
 
-    Islands hold about ``island_pieces`` pieces of at most ``capacity`` tokens, dealt by hash;
-    repeated rows are separate pieces. Of elites, ``elites`` bins for each island migrate to the next
+    Islands hold about ``island_pieces`` pieces of at most ``capacity`` tokens, dealt by a hash of
+    their place in the written table, so that equal rows spread too; repeated rows are separate pieces. Of elites, ``elites`` bins for each island migrate to the next
     one. An empty table gives an empty result.
     """
     kept = materialize(pieces, "pieces")  # tokenized once, read by the count and by each epoch
     islands = max(1, round(kept.count() / island_pieces))
-    dealt = kept.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(islands)).cast("int"))
+    dealt = kept.withColumn("island", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)).cast("int"))
 
     def solve(pdf, foreign, emit_elites: bool, epoch: int):  # noqa: ANN001
         import pandas as pd
