@@ -11,14 +11,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyquilt.llm.common import bound_batches
 
 #: Labelled rows of each class that the fit may use at most; half make the dictionary, half the calibration.
 SAMPLE_PER_CLASS = 2_000
-#: Bytes of each sampled text's blocks are kept up to this many bytes in all per class.
+#: Sampled texts go to the driver as long as they come to this many bytes in all per class.
 SAMPLE_BYTES = 16 << 20
 DICTIONARY_BYTES = 112 << 10
 BLOCK = 1_536
@@ -99,20 +99,22 @@ def held_out(doc_id: F.Column) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most ``SAMPLE_PER_CLASS`` rows of each label, those with the smallest hash of doc_id, never on held-out ones.
 
+    Of these, texts count in that order up to ``SAMPLE_BYTES`` a label; Spark cuts them off, so the driver never holds more.
     Class shares come from all labelled rows outside the held-out fold. Rows without doc_id or label
-    are left out; with no labelled rows every text scores the same.
+    are left out, repeated ids count once (with the lower label, and the first text by order); with no
+    labelled rows every text scores the same.
     """
-    ids = labels.select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("d").isNotNull() & ~held_out(F.col("d")))
+    known = labels.select(F.col("doc_id").alias("d"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("d").isNotNull() & ~held_out(F.col("d")))
+    ids = known.groupBy("d").agg(F.min("quality").alias("quality"))
     shares = {r[0]: r[1] for r in ids.groupBy("quality").count().collect()}
+    smallest = [ids.where(F.col("quality") == label).orderBy(F.xxhash64("d"), "d").limit(SAMPLE_PER_CLASS) for label in (0, 1)]
+    texts = docs.select("doc_id", F.encode("text", "UTF-8").alias("raw")).join(F.broadcast(smallest[0].union(smallest[1])), F.col("doc_id") == F.col("d")).where(F.octet_length("raw") > 0)
+    # two windows of SAMPLE_PER_CLASS rows at most
+    so_far = F.sum(F.octet_length("raw")).over(Window.partitionBy("quality").orderBy("h", "d"))
+    rows = texts.groupBy("quality", "d").agg(F.min("raw").alias("raw")).withColumn("h", F.xxhash64("d")).withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES)
     sample: dict[int, list[bytes]] = {0: [], 1: []}
-    for label in (0, 1):
-        chosen = ids.where(F.col("quality") == label).orderBy(F.xxhash64("d"), "d").limit(SAMPLE_PER_CLASS)
-        rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("d")).where(F.length("text") > 0)
-        kept = 0
-        for r in sorted(rows.select(F.xxhash64("d"), F.encode("text", "UTF-8"), "d").toLocalIterator(), key=lambda r: (r[0], r[2])):
-            if kept < SAMPLE_BYTES:
-                sample[label].append(bytes(r[1]))
-                kept += len(r[1])
+    for r in rows.orderBy("quality", "h", "d").select("quality", "raw").collect():
+        sample[r[0]].append(bytes(r[1]))
     model = Model(train_dictionary(sample[1][::2]), train_dictionary(sample[0][::2]), (0.0, 0.0, 0.0, 0.0), 0.0)
     good, bad = sample[1][1::2], sample[0][1::2]
     if not good or not bad:
