@@ -104,9 +104,10 @@ def test_long_words_are_told_apart():
     assert one[0] != two[0]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 17])
+def test_components(spark, small):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (101, 100)], "x long, y long")
-    assert {r.v: r.comp for r in connected_components(edges).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+    assert {r.v: r.comp for r in connected_components(edges, small).collect()} == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
 def test_components_of_shuffled_paths(spark):
@@ -114,7 +115,7 @@ def test_components_of_shuffled_paths(spark):
     rng = np.random.default_rng(0)
     paths = [rng.permutation(1_000), 1_000 + rng.permutation(1_000)]
     edges = spark.createDataFrame([(int(a), int(b)) for p in paths for a, b in zip(p[:-1], p[1:], strict=True)], "x long, y long")
-    assert {r.v: r.comp for r in connected_components(edges).collect()} == {v: v // 1_000 * 1_000 for v in range(2_000)}
+    assert {r.v: r.comp for r in connected_components(edges, 0).collect()} == {v: v // 1_000 * 1_000 for v in range(2_000)}
 
 
 def test_bad_limits(docs):
