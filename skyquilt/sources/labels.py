@@ -1,7 +1,11 @@
-"""Product labels in XML: discovery, parsing by XPath in the JVM, companion files, sun angles."""
+"""Product labels in XML: discovery, parsing (once a label, in Arrow batches), companion files, sun angles."""
 
 from __future__ import annotations
 
+import re
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,53 +27,84 @@ def any_of(tag: str) -> str:
     return f'//*[local-name()="{tag}"]'
 
 
-def value(xml: Column, path: str) -> Column:
-    return X.strip(F.xpath_string(xml, F.lit(f"({path})[1]")))
-
-
-def axis(xml: Column, name: str) -> Column:
-    """Elements of a named axis of the first image array, 2-D images before spectra before 3-D images; names in any case."""
-    low = 'translate(normalize-space(*[local-name()="axis_name"]),"ABCDEFGHIJKLMNOPQRSTUVWXYZ","abcdefghijklmnopqrstuvwxyz")'
-    paths = [f'{any_of(k)}//*[local-name()="Axis_Array"][{low}="{name}"]/*[local-name()="elements"]' for k in ("Array_2D_Image", "Array_3D_Spectrum", "Array_3D_Image")]
-    return F.coalesce(*[value(xml, p).try_cast("long") for p in paths])
-
-
-def corners(xml: Column) -> Column:
-    """UL, UR, LR, LL of the refined block if there is one, else of the system block; empty if any value is missing."""
-    def block(tag: str) -> Column:
-        one = lambda c, axis_name: value(xml, f'{any_of(tag)}//*[local-name()="{c}_{axis_name}"]').try_cast("double")
-        return F.array(*[F.struct(one(c, "latitude").alias("lat"), one(c, "longitude").alias("lon")) for c, _ in CORNER_NAMES])
-
-    there = F.xpath_boolean(xml, F.lit(any_of("Refined_Corner_Coordinates")))
-    found = F.when(there, block("Refined_Corner_Coordinates")).otherwise(block("System_Level_Coordinates"))
-    return F.when(F.forall(found, lambda c: c["lat"].isNotNull() & c["lon"].isNotNull()), found).otherwise(F.slice(found, 1, 0))
+#: Elements whose first occurrence, at any depth, is read.
+SINGLE = ("logical_identifier", "file_name", "data_type", "pixel_resolution", "projection", "area", "start_date_time", "stop_date_time", "sun_elevation", "sun_azimuth", "solar_incidence", "file_size", "md5_checksum")
+#: Image arrays in order of precedence, axes, and blocks of corners in order of precedence.
+ARRAYS = ("Array_2D_Image", "Array_3D_Spectrum", "Array_3D_Image")
+AXES = ("line", "sample", "band")
+BLOCKS = ("Refined_Corner_Coordinates", "System_Level_Coordinates")
+CORNERS = tuple(f"{c}_{x}" for c, _ in CORNER_NAMES for x in ("latitude", "longitude"))
+PROLOGUE = re.compile(r"^\ufeff?\s*(<\?xml[^>]*\?>)?")
+FIELDS = pa.struct([(n, pa.string()) for n in (*SINGLE, "component")] + [(n, pa.list_(pa.string())) for n in (*AXES, "corners")])
+
+
+def fields(xml: str | None) -> dict | None:
+    """What is read from one label, in one pass; None where the text is no well-formed observational label."""
+    try:
+        root = ElementTree.fromstring(PROLOGUE.sub("", xml or "", count=1))
+    except (ElementTree.ParseError, ValueError):
+        return None
+    local = lambda e: e.tag.rpartition("}")[2]
+    text = lambda e: "".join(e.itertext())
+    if local(root) != "Product_Observational":
+        return None
+    by_name: dict[str, list] = {}
+    for e in root.iter():
+        by_name.setdefault(local(e), []).append(e)
+
+    def length(array: str, axis: str) -> str | None:
+        for e in by_name.get(array, ()):
+            for part in e.iter():
+                if part is not e and local(part) == "Axis_Array":
+                    names = [text(c) for c in part if local(c) == "axis_name"]
+                    if names and " ".join(names[0].split()).lower() == axis:
+                        for c in part:
+                            if local(c) == "elements":
+                                return text(c)
+        return None
+
+    def inside(block: str) -> list[str | None]:
+        found: dict[str, str] = {}
+        for e in by_name.get(block, ()):
+            for c in e.iter():
+                found.setdefault(local(c), text(c))
+        return [found.get(c) for c in CORNERS]
+
+    out: dict = {n: text(by_name[n][0]) for n in SINGLE if n in by_name}
+    out["component"] = next((text(c) for e in by_name.get("Observing_System_Component", ()) for c in e if local(c) == "name"), None)
+    out |= {axis: [length(array, axis) for array in ARRAYS] for axis in AXES}
+    out["corners"] = inside(BLOCKS[0] if BLOCKS[0] in by_name else BLOCKS[1])
+    return out
 
 
 def parse(labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Products of labels (``path, xml``); texts that are no well-formed observational label give no row.
 
-    A row needs an instrument, both dimensions and a file name; the footprint may be empty.
+    A row needs an instrument, both dimensions and a file name; the footprint may be empty: corners are those of the
+    refined block if there is one, else of the system block, and none if any value is missing.
     """
-    # xpath fails the job on malformed text. Inside a root of our own, trailing matter shows up as
-    # malformed in from_xml or as a second child, and what passes is safe for xpath.
-    body = F.concat(F.lit("<w>"), F.regexp_replace("xml", r"^(\x{FEFF})?\s*<\?xml[^>]*\?>", ""), F.lit("</w>"))
-    bad = F.from_xml(body, "_corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})["_corrupt_record"]
-    # the generator keeps the check from being copied into every field below
-    once = F.explode(F.filter(F.array(F.when(bad.isNull(), body)), lambda x: x.isNotNull()))
-    safe = labels.where(F.col("xml").isNotNull()).select("path", *keep, once.alias("xml"))
-    xml = F.col("xml")
-    get = lambda tag: value(xml, any_of(tag))
+
+    def read(xml: pa.Array) -> pa.Array:
+        return pa.array([fields(x.as_py()) for x in xml], FIELDS)
+
+    read.__annotations__ = {"xml": pa.Array, "return": pa.Array}
+    names = ", ".join(f"{f.name}: {'string' if f.type == pa.string() else 'array<string>'}" for f in FIELDS)
+    found = labels.where(F.col("xml").isNotNull()).select("path", *keep, "xml", F.arrow_udf(read, f"struct<{names}>")("xml").alias("x")).where(F.col("x").isNotNull())
+    get = lambda tag: X.strip(F.col(f"x.{tag}"))
     num = lambda tag: get(tag).try_cast("double")
-    component = value(xml, f'{any_of("Observing_System_Component")}/*[local-name()="name"]')
+    axis = lambda name: F.coalesce(*[X.strip(F.get(f"x.{name}", F.lit(k))).try_cast("long") for k in range(len(ARRAYS))])
+    corner = lambda k: X.strip(F.get("x.corners", F.lit(k))).try_cast("double")
+    corners = F.array(*[F.struct(corner(2 * k).alias("lat"), corner(2 * k + 1).alias("lon")) for k in range(4)])
+    footprint = F.when(F.forall(corners, lambda c: c["lat"].isNotNull() & c["lon"].isNotNull()), corners).otherwise(F.slice(corners, 1, 0))
     file_name = get("file_name")
-    kind = X.instrument(component, get("logical_identifier"), file_name, xml)
-    rows = safe.where(F.xpath_boolean(xml, F.lit('count(/w/*) = 1 and boolean(/w/*[local-name()="Product_Observational"])'))).select(
+    kind = X.instrument(get("component"), get("logical_identifier"), file_name, F.col("xml"))
+    rows = found.select(
         *keep, kind.alias("instrument"), F.regexp_replace("path", "[^/]+$", F.coalesce(file_name, F.lit(""))).alias("file_path"), F.col("path").alias("label_path"),
-        axis(xml, "line").alias("lines"), axis(xml, "sample").alias("samples"), get("data_type").alias("datatype"), corners(xml).alias("footprint"),
+        axis("line").alias("lines"), axis("sample").alias("samples"), get("data_type").alias("datatype"), footprint.alias("footprint"),
         X.strip(F.regexp_replace(file_name, r"\.[^.]*$", "")).alias("product_id"), get("logical_identifier").alias("logical_identifier"), num("pixel_resolution").alias("pixel_resolution_m"),
         get("projection").alias("projection"), get("area").alias("area"), get("start_date_time").alias("start_time"), get("stop_date_time").alias("stop_time"),
         num("sun_elevation").alias("sun_elevation_deg"), num("sun_azimuth").alias("sun_azimuth_deg"), num("solar_incidence").alias("solar_incidence_deg"),
-        F.coalesce(axis(xml, "band"), F.lit(1)).cast("long").alias("bands"), get("file_size").try_cast("long").alias("file_size_bytes"), get("md5_checksum").alias("md5_checksum"), file_name.alias("_file"),
+        F.coalesce(axis("band"), F.lit(1)).cast("long").alias("bands"), get("file_size").try_cast("long").alias("file_size_bytes"), get("md5_checksum").alias("md5_checksum"), file_name.alias("_file"),
     )
     return rows.where("instrument IS NOT NULL AND lines IS NOT NULL AND samples IS NOT NULL AND _file IS NOT NULL").drop("_file")
 
