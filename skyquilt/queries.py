@@ -90,11 +90,14 @@ def overlap_manifest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {box_sql(*A_SUPPLIER)}, {box_sql(*B_PART)}, {pairs_sql("true")}
-SELECT (SELECT count(*) FROM a) * (SELECT count(*) FROM b) AS naive, count(*) AS overlaps, count(*) FILTER (abs(cy) <= 60) AS non_polar FROM pairs""")
+SELECT (SELECT count(*) FROM a) * (SELECT count(*) FROM b) AS naive, (SELECT count(*) FROM a, b WHERE a_x0 <= b_x1 AND b_x0 <= a_x1 AND a_y0 <= b_y1 AND b_y0 <= a_y1) AS candidates, count(*) AS overlaps, count(*) FILTER (abs(cy) <= 60) AS non_polar FROM pairs""")
 def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = box_pairs(spark, sf_dir, A_SUPPLIER, B_PART)
+    met = spatial.box_candidates(boxes(spark, sf_dir, *A_SUPPLIER), boxes(spark, sf_dir, *B_PART)).select("a_box", "b_box")
+    common = G.intersect_bounds(F.col("a_box"), F.col("b_box"))
+    met = met.select(G.box_overlap(F.col("a_box"), F.col("b_box")).alias("inter"), ((common["y0"] + common["y1"]) / 2).alias("cy"))
     sizes = table(spark, sf_dir, "supplier").agg(F.count("*").alias("na")).crossJoin(table(spark, sf_dir, "part").agg(F.count("*").alias("nb")))  # one row each
-    return pairs.agg(F.count("*").alias("overlaps"), F.count_if(F.abs("cy") <= 60).alias("non_polar")).crossJoin(sizes).select((F.col("na") * F.col("nb")).alias("naive"), "overlaps", "non_polar")
+    counted = met.agg(F.count("*").alias("candidates"), F.count_if(F.col("inter") > 0).alias("overlaps"), F.count_if((F.col("inter") > 0) & (F.abs("cy") <= 60)).alias("non_polar"))
+    return counted.crossJoin(sizes).select((F.col("na") * F.col("nb")).alias("naive"), "candidates", "overlaps", "non_polar")
 
 
 POINTS_SQL = "points AS (SELECT vec_id, (embedding[1] * 500)::DOUBLE AS x, (embedding[2] * 250)::DOUBLE AS y FROM embeddings)"
@@ -287,8 +290,8 @@ def within_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.with_errors(residuals(spark, sf_dir)).agg(*scoring.within(F.col("error"), 50, 100, 300))
 
 
-DETECTION_SQL = """det AS (SELECT event_id AS det_id, user_id % 500 * 20.0 AS x, event_id % 97 * 20.0 AS y, 20 + event_id % 60 AS r FROM events WHERE event_id % 5 = 0),
-gt AS (SELECT o_orderkey AS gt_id, o_custkey % 500 * 20.0 AS x, o_orderkey % 89 * 20.0 AS y, 20 + o_orderkey % 50 AS r FROM orders WHERE o_orderkey % 4 = 0),
+DETECTION_SQL = """det AS (SELECT event_id AS det_id, event_id * 37 % 400000 * 1.0 AS x, event_id % 97 * 20.0 AS y, 20 + event_id % 60 AS r FROM events),
+gt AS (SELECT o_orderkey AS gt_id, o_orderkey * 37 % 400000 * 1.0 AS x, o_orderkey % 89 * 20.0 AS y, 20 + o_orderkey % 50 AS r FROM orders),
 c AS (SELECT det_id, gt_id, d.r AS dr, g.r AS gr, sqrt((d.x - g.x) ** 2 + (d.y - g.y) ** 2) AS dist FROM det d JOIN gt g ON abs(d.x - g.x) <= 150 AND abs(d.y - g.y) <= 150),
 o AS (SELECT *, greatest(least(dr, gr) - dist / 2, 0) ** 2 * pi() AS both_ FROM c WHERE dist <= 150 AND greatest(dr, gr) <= 3 * least(dr, gr)),
 i AS (SELECT *, both_ / greatest(pi() * (dr * dr + gr * gr) - both_, 1e-6) AS iou FROM o),
@@ -299,8 +302,8 @@ w AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY det_id) AS k FROM
 @query(f"""WITH {DETECTION_SQL}, s AS (SELECT count(*) FILTER (k = 1) AS tp, (SELECT count(*) FROM det) AS nd, (SELECT count(*) FROM gt) AS ng FROM w)
 SELECT tp, nd - tp AS fp, ng - tp AS fn, round(tp / greatest(nd, 1), 4) AS precision, round(tp / greatest(ng, 1), 4) AS recall, round(2.0 * tp / nd * tp / ng / greatest(tp / nd + tp / ng, 1e-6), 4) AS f1 FROM s""")
 def detection_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    det = table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.lit(0).alias("g"), F.col("event_id").alias("det_id"), F.col("event_id").alias("det_ord"), (F.col("user_id") % 500 * 20.0).alias("x"), (F.col("event_id") % 97 * 20.0).alias("y"), (F.col("event_id") % 60 + 20).alias("r"))
-    gt = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select(F.lit(0).alias("g"), F.col("o_orderkey").alias("gt_id"), (F.col("o_custkey") % 500 * 20.0).alias("x"), (F.col("o_orderkey") % 89 * 20.0).alias("y"), (F.col("o_orderkey") % 50 + 20).alias("r"))
+    det = table(spark, sf_dir, "events").select(F.lit(0).alias("g"), F.col("event_id").alias("det_id"), F.col("event_id").alias("det_ord"), (F.col("event_id") * 37 % 400000 * 1.0).alias("x"), (F.col("event_id") % 97 * 20.0).alias("y"), (F.col("event_id") % 60 + 20).alias("r"))
+    gt = table(spark, sf_dir, "orders").select(F.lit(0).alias("g"), F.col("o_orderkey").alias("gt_id"), (F.col("o_orderkey") * 37 % 400000 * 1.0).alias("x"), (F.col("o_orderkey") % 89 * 20.0).alias("y"), (F.col("o_orderkey") % 50 + 20).alias("r"))
     return scoring.detection_report(scoring.match_detections(det, gt), gt)
 
 
@@ -327,13 +330,15 @@ def mirror_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.chain_gradient(rows, "d", "l_extendedprice").select(F.round("mean_gradient", 4).alias("mean_gradient"), "n")
 
 
-@query("""WITH e AS (SELECT user_id, event_id, ts, (epoch_us(ts) % 86400000000) / 86400000000.0 AS f FROM events WHERE event_type = 'purchase' OR event_id % 3 = 0),
+@query("""WITH e AS (SELECT user_id, event_id, ts, (epoch_us(ts) % 86400000000) / 86400000000.0 AS f FROM events),
 p AS (SELECT a.user_id, a.event_id AS a_id, b.event_id AS b_id, round(abs(epoch_us(a.ts) - epoch_us(b.ts)) / 86400000000.0, 2) AS days, abs(a.f - b.f) AS d FROM e a JOIN e b ON a.user_id = b.user_id AND a.event_id < b.event_id)
 SELECT user_id, a_id, b_id, days, round(least(d, 1 - d) * 86400, 3) AS tod_seconds FROM p WHERE least(d, 1 - d) * 86400 < 3600""")
 def time_delta_cotemporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").where("event_type = 'purchase' OR event_id % 3 = 0").select("user_id", "event_id", "ts")
-    a, b = e.select("user_id", F.col("event_id").alias("a_id"), F.col("ts").alias("ta")), e.select("user_id", F.col("event_id").alias("b_id"), F.col("ts").alias("tb"))
-    pairs = a.join(b, "user_id").where("a_id < b_id")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts")
+    # within an hour of each other on the clock: in the same hour of the day or in neighbouring ones
+    a = e.select("user_id", F.col("event_id").alias("a_id"), F.col("ts").alias("ta"), F.explode(F.array(*[F.pmod(F.hour("ts") + k, F.lit(24)) for k in (-1, 0, 1)])).alias("hour"))
+    b = e.select("user_id", F.col("event_id").alias("b_id"), F.col("ts").alias("tb"), F.hour("ts").alias("hour"))
+    pairs = a.join(b, ["user_id", "hour"]).where("a_id < b_id")
     days = F.round(F.abs(A.micros(F.col("ta")) - A.micros(F.col("tb"))) / 86_400_000_000, 2)
     tod = A.circular_seconds(A.day_fraction(F.col("ta")), A.day_fraction(F.col("tb")))
     return pairs.where(tod < 3600).select("user_id", "a_id", "b_id", days.alias("days"), F.round(tod, 3).alias("tod_seconds"))
@@ -457,16 +462,28 @@ def locate_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_xml(key: Column, lines: Column, name: Column, elevation: Column) -> Column:
-    """A product label as text, from columns."""
+    """A product label as text, from columns; every third has no refined corners, every fourth is a cube."""
+    corner = lambda c, lat, lon: F.concat(F.lit(f"<isda:{c}_latitude>"), lat.cast("string"), F.lit(f"</isda:{c}_latitude><isda:{c}_longitude>"), lon.cast("string"), F.lit(f"</isda:{c}_longitude>"))
+
+    def block(tag: str, shift: int) -> Column:
+        lat, lon = key % 80 + shift, key % 170 + shift
+        return F.concat(F.lit(f"<isda:{tag}>"), corner("upper_left", lat + 1, lon), corner("upper_right", lat + 1, lon + 2), corner("lower_left", lat, lon), corner("lower_right", lat, lon + 2), F.lit(f"</isda:{tag}>"))
+
+    cube = key % 4 == 0
+    kind = F.when(cube, "Array_3D_Spectrum").otherwise("Array_2D_Image")
     axis = lambda n, v: F.concat(F.lit(f"<Axis_Array><axis_name>{n}</axis_name><elements>"), v.cast("string"), F.lit("</elements></Axis_Array>"))
     return F.concat(
         F.lit('<?xml version="1.0"?><Product_Observational xmlns="http://pds.nasa.gov/pds4/pds/v1" xmlns:isda="https://isda.issdc.gov.in/pds4/isda/v1"><Identification_Area><logical_identifier>urn:x:'), key.cast("string"),
         F.lit("</logical_identifier></Identification_Area><Observation_Area><Observing_System_Component><name>Orbiter High Resolution Camera</name></Observing_System_Component><isda:sun_elevation>"), elevation.cast("string"),
-        F.lit("</isda:sun_elevation></Observation_Area><File_Area_Observational><File><file_name>"), name, F.lit("</file_name></File><Array_2D_Image>"), axis("Line", lines), axis("Sample", F.lit(12000)), F.lit("</Array_2D_Image></File_Area_Observational></Product_Observational>"),
+        F.lit("</isda:sun_elevation>"), block("System_Level_Coordinates", 0), F.when(key % 3 != 0, block("Refined_Corner_Coordinates", -5)).otherwise(""),
+        F.lit("</Observation_Area><File_Area_Observational><File><file_name>"), name, F.lit("</file_name><file_size>"), (lines * 12000).cast("string"), F.lit("</file_size><md5_checksum>"), F.md5(name.cast("binary")), F.lit("</md5_checksum></File><"), kind, F.lit(">"),
+        axis("Line", lines), axis("Sample", F.lit(12000)), F.when(cube, axis("BAND", key % 200 + 1)).otherwise(""), F.lit("</"), kind, F.lit("></File_Area_Observational></Product_Observational>"),
     )
 
 
-@query("""SELECT o_orderkey, 'OHRC' AS instrument, (o_orderkey % 1000 + 1)::BIGINT AS lines, 12000::BIGINT AS samples, 'urn:x:' || o_orderkey AS logical_identifier, 'img' || o_custkey || '.img' AS file_name, round(o_totalprice, 2) AS sun_elevation_deg FROM orders WHERE o_orderkey % 9 <> 0""")
+@query("""SELECT o_orderkey, 'OHRC' AS instrument, (o_orderkey % 1000 + 1)::BIGINT AS lines, 12000::BIGINT AS samples, 'urn:x:' || o_orderkey AS logical_identifier, 'img' || o_custkey || '.img' AS file_name, round(o_totalprice, 2) AS sun_elevation_deg,
+  CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 200 + 1 ELSE 1 END::BIGINT AS bands, (o_orderkey % 1000 + 1) * 12000 AS file_size_bytes, md5('img' || o_custkey || '.img') AS md5_checksum,
+  concat_ws(' ', k + 1, o, k + 1, o + 2, k, o + 2, k, o) AS corners FROM (SELECT *, o_orderkey % 80 - CASE WHEN o_orderkey % 3 <> 0 THEN 5 ELSE 0 END AS k, o_orderkey % 170 - CASE WHEN o_orderkey % 3 <> 0 THEN 5 ELSE 0 END AS o FROM orders) WHERE o_orderkey % 9 <> 0""")
 def xml_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyquilt.sources.labels import parse
 
@@ -475,7 +492,7 @@ def xml_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = label_xml(F.col("o_orderkey"), F.col("o_orderkey") % 1000 + 1, name, F.round("o_totalprice", 2))
     broken = F.when(F.col("o_orderkey") % 9 == 0, F.concat(whole, F.lit("<oops>"))).otherwise(whole)
     got = parse(o.select("o_orderkey", F.concat(F.lit("/data/"), F.col("o_orderkey").cast("string"), F.lit("/label.xml")).alias("path"), broken.alias("xml")), keep=("o_orderkey",))
-    return got.select("o_orderkey", "instrument", "lines", "samples", "logical_identifier", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.round("sun_elevation_deg", 2).alias("sun_elevation_deg"))
+    return got.select("o_orderkey", "instrument", "lines", "samples", "logical_identifier", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.round("sun_elevation_deg", 2).alias("sun_elevation_deg"), "bands", "file_size_bytes", "md5_checksum", F.array_join(F.flatten(F.transform("footprint", lambda c: F.array(c["lat"].cast("long"), c["lon"].cast("long")))), " ").alias("corners"))
 
 
 @query()
