@@ -59,3 +59,24 @@ def elevation_band(elevation: Column) -> Column:
 
 def orbital_speed(mu: float, radius_m: Column) -> Column:
     return F.sqrt(mu / radius_m)
+
+
+SYNODIC_DAYS = 29.530588853
+
+
+def subsolar_longitude(jd: Column, ref_jd: Column, ref_lon: Column) -> Column:
+    """East longitude under the Sun, 0 to 360, from a calibrated instant; it advances once around in a synodic month."""
+    return F.pmod(ref_lon + (jd - ref_jd) * (360.0 / SYNODIC_DAYS), F.lit(360.0))
+
+
+def mirror_verdict(*same: Column) -> Column:
+    """NONE if all comparisons of orientation agree, else MIRRORED."""
+    agreed = F.lit(True)
+    for s in same:
+        agreed = agreed & F.coalesce(s, F.lit(False))
+    return F.when(agreed, "NONE").otherwise("MIRRORED")
+
+
+def mirror_prediction(limb_a: Column, limb_b: Column) -> Column:
+    """The same from two orbit limb directions, whatever their case and blanks."""
+    return mirror_verdict(F.lower(F.trim(limb_a)) == F.lower(F.trim(limb_b)))

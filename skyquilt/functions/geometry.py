@@ -179,3 +179,51 @@ def scale_at_standard_parallel(lat_ts: float) -> float:
     import math
 
     return (1 + math.sin(math.radians(abs(lat_ts)))) / 2
+
+
+def _crossing(p: Column, q: Column, r: Column, s: Column) -> Column:
+    """Where segments p-q and r-s cross strictly inside both, else null."""
+    side = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+
+    def meet(d: Column) -> Column:
+        t = F.try_divide(d["c"], d["c"] - d["d"])
+        return F.when((d["a"] * d["b"] < 0) & (d["c"] * d["d"] < 0), point(p["x"] + t * (q["x"] - p["x"]), p["y"] + t * (q["y"] - p["y"])))
+
+    return F.get(F.transform(F.array(F.struct(side(p, q, r).alias("a"), side(p, q, s).alias("b"), side(r, s, p).alias("c"), side(r, s, q).alias("d"))), meet), 0)
+
+
+def _once(value: Column, then) -> Column:  # noqa: ANN001
+    """``then`` applied to a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
+def repaired(ring: Column) -> Column:
+    """The ring, or of a bow tie of four corners the triangle with the highest corner; null without area.
+
+    That is the part whose orientation counts as the ring's own. Rings of more corners come back as they are.
+    """
+    def fix(r: Column) -> Column:
+        v = [F.get(r, F.lit(k)) for k in range(4)]
+
+        def lobe(at: Column, a: list[Column], b: list[Column]) -> Column:
+            top = lambda corners: F.greatest(*[c["y"] for c in corners])
+            return F.when(top(a) >= top(b), F.array(at, *a)).otherwise(F.array(at, *b))
+
+        def pick(c: Column) -> Column:
+            one, two = c["one"], c["two"]
+            return F.when((F.size(r) != 4) | (one.isNull() & two.isNull()), r).when(one.isNotNull(), lobe(one, [v[1], v[2]], [v[3], v[0]])).otherwise(lobe(two, [v[2], v[3]], [v[0], v[1]]))
+
+        return _once(F.struct(_crossing(v[0], v[1], v[2], v[3]).alias("one"), _crossing(v[1], v[2], v[3], v[0]).alias("two")), pick)
+
+    return _once(_once(ring, fix), lambda f: F.when(area(f) > 0, f))
+
+
+def unwrapped(longitudes: Column) -> Column:
+    """Longitudes without a jump at the antimeridian: where neighbours differ by 180 or more, those below 180 go up by 360."""
+    jump = F.exists(F.zip_with(F.slice(longitudes, 2, F.size(longitudes)), F.slice(longitudes, 1, F.size(longitudes) - 1), lambda b, a: F.abs(b - a) >= 180), lambda x: x)
+    return F.when(jump, F.transform(longitudes, lambda x: F.when(x < 180, x + 360).otherwise(x))).otherwise(longitudes)
+
+
+def inside_raster(corners: Column, width: Column, height: Column) -> Column:
+    """Whether all corners (x: column, y: row) are on the raster, its edges included."""
+    return F.forall(corners, lambda c: c["x"].between(F.lit(0), width) & c["y"].between(F.lit(0), height))

@@ -29,12 +29,18 @@ def original_homography(h: Column, fx_a: Column, fy_a: Column, fx_b: Column, fy_
     return matmul(scaling(fx_b, fy_b), matmul(h, scaling(1 / fx_a, 1 / fy_a)))
 
 
-def model_matrix(tx: Column, ty: Column, sx: Column, sy: Column, theta_deg: Column) -> Column:
-    """Five-parameter model L * p + t with L = rotation * diag(sx, sy); it does not turn about a centre."""
-    c, s = F.cos(F.radians(theta_deg)), F.sin(F.radians(theta_deg))
+def model_matrix(tx: Column, ty: Column, sx: Column, sy: Column, theta_deg: Column, clockwise: bool = False) -> Column:
+    """Five-parameter model L * p + t with L = rotation * diag(sx, sy)."""
+    c, s = F.cos(F.radians(theta_deg)), F.sin(F.radians(theta_deg)) * (-1 if clockwise else 1)
     return F.array(c * sx, -s * sy, tx, s * sx, c * sy, ty, F.lit(0.0), F.lit(0.0), F.lit(1.0))
 
 
+def centred(h: Column, cx: Column, cy: Column) -> Column:
+    """An affine matrix that acts about a centre: the centre moves by the matrix's shift only."""
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return matmul(F.array(one, zero, cx, zero, one, cy, zero, zero, one), matmul(h, F.array(one, zero, -cx, zero, one, -cy, zero, zero, one)))
+
+
 def downsample_factor(source: Column, target: Column) -> Column:
     """target / source metres per pixel, 1 at least; an error where either is not positive."""
     bad = (source <= 0) | (target <= 0)

@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyquilt.session import cut
+
 PAD_RATIO = 3.0
 
 
 def knn_edges(nodes: DataFrame, k: int, group: str = "g", key: str = "id", cell: float | None = None) -> DataFrame:
     """Undirected edges ``group, a, b, dist, size_ratio`` of each node's k nearest nodes in its group.
 
-    nodes: ``g, id, x, y, radius``; x and y in metres. Distance ties go to the lower id. With ``cell``,
-    only nodes in neighbouring cells are compared as long as they settle the k nearest, and the
-    rest of the nodes fall back to their whole group; without, groups are taken to be small.
+    nodes: ``g, id, x, y, radius``; x and y in metres. Distance ties go to the lower id. Nodes are
+    compared within 3 x 3 cells, which settle those whose k-th neighbour is nearer than a cell; the
+    rest go on with wider cells, in the end with their whole group. The first ``cell`` holds about k nodes
+    if they spread evenly, unless it is given.
     """
     a = nodes.select(group, *[F.col(c).alias(f"a_{c}") for c in (key, "x", "y", "radius")])
     b = nodes.select(group, *[F.col(c).alias(f"b_{c}") for c in (key, "x", "y", "radius")])
+    ext = nodes.groupBy(group).agg(F.count("*").alias("n"), (F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h"))
+    size, span = ext.agg(F.percentile_approx(F.sqrt(F.greatest(F.col("w") * F.col("h"), F.lit(1e-12)) * k / F.col("n")), 0.5), F.max(F.greatest("w", "h"))).first()
+    if size is None:
+        size = span = 1.0
+    size = cell or max(size, span / 2**20, 1e-6)
     d2 = F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2)
     order = Window.partitionBy(group, f"a_{key}").orderBy("d2", f"b_{key}")
-
-    def top(joined: DataFrame) -> DataFrame:
-        return joined.where(F.col(f"a_{key}") != F.col(f"b_{key}")).withColumn("d2", d2).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
-
-    if cell is None:
-        near = top(a.join(b, group))
-    else:
-        at = lambda s, i=0, j=0: F.struct((F.floor(F.col(f"{s}_x") / cell) + i).alias("cx"), (F.floor(F.col(f"{s}_y") / cell) + j).alias("cy"))
+    near, left = None, a
+    while True:
+        last = size >= span
+        at = lambda s, i=0, j=0: F.struct((F.floor(F.col(f"{s}_x") / size) + i).alias("cx"), (F.floor(F.col(f"{s}_y") / size) + j).alias("cy"))  # noqa: B023, E731
         around = F.explode(F.array(*[at("a", i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        close = top(a.withColumn("cell", around).join(b.withColumn("cell", at("b")), [group, "cell"]).drop("cell"))
-        full = close.groupBy(group, f"a_{key}").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= cell * cell)).select(group, f"a_{key}")
-        rest = a.join(full, [group, f"a_{key}"], "left_anti")
-        near = close.join(full, [group, f"a_{key}"], "left_semi").unionByName(top(rest.join(b, group)))
+        met = left.withColumn("cell", around).join(b.withColumn("cell", at("b")), [group, "cell"]).drop("cell").where(F.col(f"a_{key}") != F.col(f"b_{key}"))
+        close = met.withColumn("d2", d2).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+        if not last:
+            close = cut(close)
+            full = close.groupBy(group, f"a_{key}").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= size * size)).select(group, f"a_{key}")
+            left = cut(left.join(full, [group, f"a_{key}"], "left_anti"))
+            close = close.join(full, [group, f"a_{key}"], "left_semi")
+            last = left.limit(1).count() == 0
+        near = close if near is None else near.unionByName(close)
+        if last:
+            break
+        size *= 4
     pair = near.select(group, F.least(f"a_{key}", f"b_{key}").alias("a"), F.greatest(f"a_{key}", f"b_{key}").alias("b"), F.sqrt("d2").alias("dist"), size_ratio(F.col("a_radius"), F.col("b_radius")).alias("size_ratio"))
     return pair.dropDuplicates([group, "a", "b"])
 

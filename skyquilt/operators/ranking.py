@@ -98,3 +98,32 @@ def score_candidates(pairs: DataFrame, **limits: float) -> DataFrame:
 def diagnostics(scored: DataFrame, id_a: str, id_b: str) -> DataFrame:
     note = F.when(F.size("reasons") == 0, "passes all filters").otherwise(F.array_join("reasons", "; "))
     return scored.select(X.pair_id(F.col(id_a), F.col(id_b)).alias("pair_id"), note.alias("note"))
+
+
+#: Pairs that a list of near-simultaneous ones shows.
+LISTED = 40
+
+
+def same_pass(rows: DataFrame, seconds: str = "dt_sec") -> DataFrame:
+    """Pairs taken within an hour."""
+    return rows.where(F.col(seconds) < 3600)
+
+
+def near_pass(rows: DataFrame, *ties: str, seconds: str = "dt_sec", craters: str = "craters", top: int = LISTED) -> DataFrame:
+    """Pairs taken within six hours with three craters or more, most craters first, then by ``ties``: the first ``top``."""
+    return rows.where((F.col(seconds) < 21600) & (F.col(craters) >= 3)).orderBy(F.desc(craters), *ties).limit(top)
+
+
+def containment_verdict(inside: Column, fraction: Column, strip_fraction: Column, width_ratio: Column, length_ratio: Column) -> Column:
+    """VERIFIED if a product lies on the other's raster, 95 % of it in either footprint, and its sides agree within 5 %."""
+    good = inside & (fraction >= 0.95) & (strip_fraction >= 0.95) & width_ratio.between(0.95, 1.05) & length_ratio.between(0.95, 1.05)
+    return F.when(F.coalesce(good, F.lit(False)), "VERIFIED").otherwise("UNVERIFIED")
+
+
+def strip_verdict(length_ratio: Column, width_ratio: Column, fraction_a: Column, fraction_b: Column) -> Column:
+    """Struct ``reasons, verdict``: sides within 10 % of the strip's, and common ground with both others; only a's decides the verdict."""
+    fits = F.coalesce(length_ratio.between(0.9, 1.1) & width_ratio.between(0.9, 1.1), F.lit(False))
+    texts = F.array(
+        F.when(~fits, "corner-quad extent inconsistent with strip dimensions"), F.when(fraction_a <= 0, "no intersection with TMC raster"), F.when(fraction_b <= 0, "corner quad does not intersect the OHRC footprint")
+    )
+    return F.struct(F.array_compact(texts).alias("reasons"), F.when(fits & (fraction_a > 0), "VERIFIED").otherwise("UNVERIFIED").alias("verdict"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.functions import geometry as G
+from skyquilt.session import cut
 
 
 def cells(box: Column, size: float) -> Column:
@@ -74,9 +75,11 @@ def nearest(probes: DataFrame, grid: DataFrame, probe_key: str, cell: float, lim
         d2 = F.pow(F.col("px") - F.col("gx"), 2) + F.pow(F.col("py") - F.col("gy"), 2)
         best = left.withColumn("cell", around).join(celled, "cell").groupBy(probe_key).agg(F.min(F.struct(d2.alias("d2"), F.col("grid_id").alias("grid_id"))).alias("m"))
         found = best.select(probe_key, F.col("m.grid_id").alias("grid_id"), F.col("m.d2").alias("d2"))
-        settled = found if last else found.where(F.col("d2") <= size * size)
+        settled = found if last else cut(found.where(F.col("d2") <= size * size))
         out = settled if out is None else out.union(settled)
         if last:
             return out
-        left = left.join(settled.select(probe_key), probe_key, "left_anti")
+        left = cut(left.join(settled.select(probe_key), probe_key, "left_anti"))
+        if left.limit(1).count() == 0:
+            return out
         size *= 4 if size * 64 < span else max(4.0, span / size + 1)

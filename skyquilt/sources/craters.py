@@ -70,3 +70,17 @@ def to_pixels(craters: DataFrame, to_pixel: list[float], metres_per_px: float, l
     p = T.apply_homography(F.array(*map(F.lit, map(float, to_pixel))), F.col("longitude_deg"), F.col("latitude_deg"))
     out = craters.withColumn("p", p).select(*craters.columns, (F.col("p.x") - col0).alias("x"), (F.col("p.y") - row0).alias("y"), T.crater_radius_px(F.col("diameter_km"), F.lit(metres_per_px)).alias("radius_px"))
     return out.where(F.col("x").between(0, samples - 1) & F.col("y").between(0, lines - 1))
+
+
+def on_crop(craters: DataFrame, local: str, corner: str, metres_per_px: float, row0: int, col0: int) -> DataFrame:
+    """craters with ``x, y, radius_px, is_local``: in pixels of a crop by the crop's own matrix, or of the whole image by the corners' where there is none.
+
+    ``local`` and ``corner`` name matrix columns from longitude and latitude to column and row. Craters off the image stay.
+    """
+    own = T.apply_homography(F.col(local), F.col("longitude_deg"), F.col("latitude_deg"))
+    whole = T.apply_homography(F.col(corner), F.col("longitude_deg"), F.col("latitude_deg"))
+    there = F.col(local).isNotNull()
+    return craters.select(
+        *craters.columns, F.when(there, own["x"] - col0).otherwise(whole["x"]).alias("x"), F.when(there, own["y"] - row0).otherwise(whole["y"]).alias("y"),
+        T.crater_radius_px(F.col("diameter_km"), F.lit(metres_per_px)).alias("radius_px"), there.alias("is_local"),
+    )

@@ -71,3 +71,15 @@ def _field_names(batches):  # noqa: ANN001, ANN202
 
     for pdf in batches:
         yield pd.DataFrame({"name": [n for h in pdf["head"] for n, kind, _ in dbf.header(bytes(h))[3] if kind != "D"]})
+
+
+#: Fixed names of calibrated catalogs, by instrument.
+CATALOG_NAMES = {"OHRC": "ch2_ohr_cal*.shp", "TMC2": "ch2_tmc_cal*.shp"}
+
+
+def discover_catalogs(spark: SparkSession, root: str, instrument: str) -> DataFrame:
+    """``path`` of an instrument's catalogs anywhere under root, in order; ValueError for an instrument without catalogs. No file is opened."""
+    if instrument not in CATALOG_NAMES:
+        raise ValueError(f"unsupported instrument: {instrument}")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", CATALOG_NAMES[instrument]).load(root)
+    return files.select("path").orderBy("path")

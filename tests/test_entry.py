@@ -3,6 +3,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from skyquilt import more_queries  # noqa: F401 - registers its queries
 from skyquilt import queries as base
 
 SF = "/root/testdata/sf0.001"
