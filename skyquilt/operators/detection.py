@@ -12,11 +12,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyquilt.operators.raster import decode, suppress
+from skyquilt.operators.raster import decode, shrink, suppress
 
 MIN_CONFIDENCE = 0.05
 #: Radius ranges in pixels by resolution: up to 1 m, up to 10 m, above.
-PRESETS = ((1.0, 20, 120), (10.0, 8, 60), (float("inf"), 5, 40))
+PRESETS = ((1.0, 50, 5000), (10.0, 15, 2500), (float("inf"), 3, 50))
+#: Votes that make a place a candidate; a whole rim gives about one and more.
+MIN_VOTES = 0.5
+#: Radii are looked for in octaves, each on an image shrunk so that they come to about this many pixels.
+OCTAVE = 12
 SCHEMA = "product_id string, cx double, cy double, radius double, confidence double, circularity double, mean_intensity double"
 
 
@@ -71,8 +75,8 @@ def enhance(image: np.ndarray, size: int = 15) -> np.ndarray:
     return out / max(out.max(), 1e-9) * 255
 
 
-def circles(image: np.ndarray, r_min: int, r_max: int, top: int = 40) -> list[tuple[float, float, float]]:
-    """(cx, cy, radius) by votes of strong gradients along their direction, then the radius that most edge points agree on."""
+def circles(image: np.ndarray, r_min: int, r_max: int, least: float = MIN_VOTES) -> list[tuple[float, float, float]]:
+    """(cx, cy, radius) by votes of strong gradients along their direction, then the radius that most edge points agree on; every place with ``least`` votes."""
     gy, gx = np.gradient(image)
     size = np.hypot(gx, gy)
     strong = size >= max(np.percentile(size, 90), 1e-6)
@@ -87,11 +91,9 @@ def circles(image: np.ndarray, r_min: int, r_max: int, top: int = 40) -> list[tu
             ok = (px >= 0) & (py >= 0) & (px < image.shape[1]) & (py < image.shape[0])
             np.add.at(votes, (py[ok], px[ok]), 1 / r)
     votes = blur(votes, 2.0)
-    peaks = (votes == extreme(votes, 2 * max(r_min // 2, 2) + 1, np.max)) & (votes > 0)
-    cy, cx = np.nonzero(peaks)
-    order = np.argsort(-votes[cy, cx], kind="stable")[:top]
+    cy, cx = np.nonzero((votes == extreme(votes, 2 * max(r_min // 2, 2) + 1, np.max)) & (votes >= least))
     out = []
-    for i in order:
+    for i in range(len(cy)):
         d = np.hypot(x - cx[i], y - cy[i])
         hist = np.bincount(np.rint(d[(d >= r_min) & (d <= r_max)]).astype(int), minlength=r_max + 1)[r_min : r_max + 1]
         if hist.sum():
@@ -116,16 +118,27 @@ def validate(image: np.ndarray, cx: float, cy: float, r: float) -> tuple[float,
     return float(edge.mean() * (0.5 + 0.5 * even)), float(edge.mean()), float(image[y0:y1, x0:x1].mean())
 
 
+def octaves(r_min: int, r_max: int) -> list[tuple[int, int, int]]:
+    """(least radius, largest radius, shrink factor), largest first; together they cover the range."""
+    out, lo = [], r_min
+    while lo <= r_max:
+        hi = min(r_max, 2 * lo)
+        out.append((lo, hi, max(1, lo // OCTAVE)))
+        lo = hi + 1
+    return out[::-1]
+
+
 def detect(image: np.ndarray, r_min: int, r_max: int) -> list[tuple[float, float, float, float, float, float]]:
-    """(cx, cy, radius, confidence, circularity, mean) of circles above the least confidence, coarse radii apart from fine ones."""
+    """(cx, cy, radius, confidence, circularity, mean) of circles above the least confidence, from coarse radii to fine ones."""
     ready = blur(equalize(image), 1.2)
-    mid = (r_min + r_max) // 2
     rows = []
-    for lo, hi in ((mid, r_max), (r_min, mid)):
-        for cx, cy, r in circles(ready + 0.25 * enhance(ready), lo, hi):
-            conf, circ, mean = validate(ready, cx, cy, r)
+    for lo, hi, f in octaves(r_min, r_max):
+        small = ready if f == 1 else shrink(ready, (ready.shape[0] // f, ready.shape[1] // f))
+        fy, fx = (a / b for a, b in zip(ready.shape, small.shape, strict=True))
+        for cx, cy, r in circles(small + 0.25 * enhance(small), max(lo // f, 2), -(-hi // f)):
+            conf, circ, mean = validate(small, cx, cy, r)
             if conf > MIN_CONFIDENCE:
-                rows.append((cx, cy, r, conf, circ, mean))
+                rows.append(((cx + 0.5) * fx - 0.5, (cy + 0.5) * fy - 0.5, r * (fx + fy) / 2, conf, circ, mean))
     return sorted(rows, key=lambda x: (-x[2], x[0], x[1]))
 
 

@@ -74,7 +74,7 @@ def test_grid_search_and_simplex(spark):
     c = (96 - 1) / 2
     h[:2, 2] = c - h[:2, :2] @ [c, c]
     b = G.warp(a, h)
-    best = G.grid_search(spark, a, b, coarse=5, fine=5, passes=1)
+    best = G.grid_search(spark, a, b, (0.8, 1.25), (-15.0, 15.0), coarse=5, fine=5, passes=1, polish_passes=0)
     fine = G.refine(a, b, best["sx"], best["sy"], best["theta"])
     assert fine["psr"] >= best["psr"] and fine["sx"] == pytest.approx(1.1, abs=0.04) and fine["sy"] == pytest.approx(0.95, abs=0.04) and fine["theta"] == pytest.approx(5, abs=2)
 
