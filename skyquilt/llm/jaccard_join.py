@@ -9,7 +9,8 @@ block. From a set's own size and position follow the sizes, and in each block th
 which the threshold can still be reached; whole blocks, and the rest of a block, are skipped unseen.
 
 Answer level: answers here are the components. In a few turns, each set is compared with few others
-from its lists, so that groups of near copies grow together. Afterwards a set is compared only with
+from its lists, at last with the most promising ones of each other group, so that groups of near
+copies grow together. Afterwards a set is compared only with
 sets that its own group's answers do not hold. Where it meets many sets of one group, their answers
 are derived from one of them, R: both overlaps with R are computed, and as |x & y| is at most
 |x & R| + |y - R| and at least |x & R| + |y & R| - |R|, most pairs are decided without being
@@ -38,7 +39,9 @@ COUNTERS = 18  # bits
 #: Partners that one task compares with a set at most.
 FAN = 256
 #: Turns in which groups grow together at most, lists that a set takes part in, and following sets of a list that it meets, in each.
-TURNS, OWN_LISTS, NEXT = 5, 2, 2
+TURNS, OWN_LISTS, NEXT = 2, 2, 2
+#: Most promising sets of each other group of a list that a set meets in the turn after these.
+FEW = 2
 #: Sets of one group that a set meets from which on answers are derived.
 DERIVE = 4
 #: Words of more bytes than this are hashed one by one.
@@ -316,8 +319,21 @@ def block_ranges(token: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.nda
         d += 1
 
 
-def open_pairs(rows: DataFrame, percent: int, room: int = 1 << 18) -> DataFrame:
-    """Candidate pairs of different components in lists (``token, n, v, pos, comp, sketch``) whose bucket counts leave room for the needed overlap."""
+def first_of_each(a: np.ndarray, b: np.ndarray, spare: np.ndarray, few: int) -> np.ndarray:
+    """Whether a row is among the ``few`` with the largest spare of its (a, b)."""
+    order = np.lexsort((-spare, b, a))
+    new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+    nth = np.arange(len(order)) - np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    out = np.zeros(len(order), bool)
+    out[order] = nth < few
+    return out
+
+
+def open_pairs(rows: DataFrame, percent: int, few: int | None = None, room: int = 1 << 18) -> DataFrame:
+    """Candidate pairs of different components in lists (``token, n, v, pos, comp, sketch``) whose bucket counts leave room for the needed overlap.
+
+    With ``few``, a set's most promising ones of each other component only.
+    """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, v, pos, comp, sketch in whole_lists(batches, ["token", "n", "v", "pos", "comp", "sketch"]):
@@ -333,9 +349,12 @@ def open_pairs(rows: DataFrame, percent: int, room: int = 1 << 18) -> DataFrame:
                     p, q = p[once], q[once]
                     spare = (n[p] + n[q] - apart(sketch, p, q)) // 2 - needed(n[p], n[q], percent)
                     keep = spare >= 0
-                    p, q = p[keep], q[keep]
+                    p, q, spare = p[keep], q[keep], spare[keep]
+                    if few and len(p):
+                        keep = first_of_each(v[p], comp[q], spare, few) & first_of_each(v[q], comp[p], spare, few)
+                        p, q, spare = p[keep], q[keep], spare[keep]
                     if len(p):
-                        yield output(OPEN, {"x": v[p], "y": v[q], "cx": comp[p], "cy": comp[q], "spare": spare[keep]})
+                        yield output(OPEN, {"x": v[p], "y": v[q], "cx": comp[p], "cy": comp[q], "spare": spare})
 
     return rows.repartition("token").sortWithinPartitions("token", "n", "pos").select("token", "n", "v", "pos", "comp", "sketch").mapInArrow(scan, ddl(OPEN))
 
@@ -435,10 +454,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
             labels = merged(labels, links)
             if 50 * links.count() < classes.count():  # groups have grown as far as this finds them
                 break
-        part = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
-        mixed = part.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
-        part = part.join(mixed, "token", "left_semi").join(classes.select("v", "sketch"), "v")
-        pairs = materialize(open_pairs(part, percent).distinct(), "open")
+
+        def open_lists() -> DataFrame:
+            part = lists.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
+            mixed = part.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+            return part.join(mixed, "token", "left_semi").join(classes.select("v", "sketch"), "v")
+
+        pairs = materialize(open_pairs(open_lists(), percent, FEW).select("x", "y").distinct(), "promising")
+        labels = merged(labels, linked(compared(pairs), percent))
+        pairs = materialize(open_pairs(open_lists(), percent).distinct(), "open")
         if pairs.limit(1).count():
             labels = settled(pairs, labels, compared, percent)
     joined = rows.join(labels, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
@@ -459,7 +483,8 @@ def settled(pairs: DataFrame, labels: DataFrame, compared: Callable[[DataFrame],
     # each pair once: by the group that holds more of the partners
     told = both.join(many, ["x", "r"]).select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), F.struct("met", "r", F.col("x").alias("a"), F.col("y").alias("b")).alias("o"))
     told = materialize(told.groupBy("p", "q").agg(F.max("o").alias("o")).select("p", "q", F.col("o.r").alias("r"), F.col("o.a").alias("a"), F.col("o.b").alias("b")), "told")
-    ends = told.select(F.explode(F.array("a", "b")).alias("x"), F.col("r").alias("y")).distinct().where("x <> y")
+    ends = told.select(F.col("a").alias("x"), F.col("r").alias("y")).union(told.select(F.col("b").alias("x"), F.col("r").alias("y")))
+    ends = materialize(ends.distinct().where("x <> y"), "ends")
     found = compared(best.union(ends).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
     turned = found.select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("ny").alias("nx"), F.col("nx").alias("ny"), "common")
     answers = found.union(turned).join(ends.select("x", "y"), ["x", "y"], "left_semi").select(F.col("y").alias("r"), F.col("x").alias("v"), F.col("ny").alias("nr"), F.col("nx").alias("n"), "common")
