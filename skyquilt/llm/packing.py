@@ -2,8 +2,9 @@
 
 Documents become pieces of at most ``capacity`` tokens. Pieces are dealt to islands; an island
 evolves packings whose genes are whole bins: crossover injects well-filled bins of another
-parent, bins that would use a piece twice go, and displaced pieces are best-fitted again. Between
-epochs islands pass on elites: the length patterns of their best bins, which the next island
+parent, bins that would use a piece twice go, and displaced pieces are exchanged for pieces of other
+bins where that fills them better, and best-fitted again. Islands whose best-fit packing already
+meets the lower bound of bins need no generations. Between epochs islands pass on elites: the length patterns of their best bins, which the next island
 injects wherever its own pieces have those lengths.
 """
 
@@ -25,8 +26,10 @@ CAPACITY = 4096
 #: Pieces of an island; the number of islands grows with the input.
 ISLAND_PIECES = 12_000
 EPOCHS = 2
-GENERATIONS = 3
-POPULATION = 4
+GENERATIONS = 40
+POPULATION = 6
+#: Bins in which a child tries exchanges with its displaced pieces.
+EXCHANGES = 300
 ELITES = 64
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -84,6 +87,36 @@ class Island:
                 insort(free, (r - n, k))
         return bins
 
+    def exchange(self, bins: Bins, loose: list[int]) -> list[int]:
+        """Swaps one or two pieces of a bin for one or two displaced ones wherever that fills the bin better; returns what is displaced then."""
+        stock = sorted((self.lengths[i], i) for i in loose)
+        for k in self.random.permutation(len(bins))[:EXCHANGES].tolist():
+            b = bins[k]
+            room = self.capacity - self.fill(b)
+            if not room or not stock:
+                continue
+            best: tuple[int, list[int], list[tuple[int, int]]] = (0, [], [])
+            for out in [[i] for i in b] + ([[i, j] for n, i in enumerate(b) for j in b[:n]] if len(b) <= 8 else []):
+                old = sum(self.lengths[i] for i in out)
+                space = room + old
+                at = bisect_left(stock, (space + 1, -1)) - 1
+                if at >= 0 and stock[at][0] - old > best[0]:
+                    best = (stock[at][0] - old, out, [stock[at]])
+                for x in self.random.integers(0, len(stock), min(len(stock), 16)).tolist():
+                    rest = space - stock[x][0]
+                    at = bisect_left(stock, (rest + 1, -1)) - 1
+                    at -= at == x
+                    if rest > 0 and at >= 0 and stock[at][0] + stock[x][0] - old > best[0]:
+                        best = (stock[at][0] + stock[x][0] - old, out, [stock[x], stock[at]])
+            gain, out, new = best
+            if gain:
+                bins[k] = [i for i in b if i not in out] + [i for _, i in new]
+                for x in new:
+                    stock.remove(x)
+                for i in out:
+                    insort(stock, (self.lengths[i], i))
+        return [i for _, i in stock]
+
     def cost(self, bins: Bins) -> float:
         """Fewer bins first; among equals, uneven fill leaves more room to gain."""
         return len(bins) - sum((self.fill(b) / self.capacity) ** 2 for b in bins) / max(len(bins), 1)
@@ -100,15 +133,16 @@ class Island:
                 whole.append(list(x))
             else:
                 displaced += [i for i in x if i not in used]
-        return self.best_fit(injected + whole, displaced)
+        bins = injected + whole
+        return self.best_fit(bins, self.exchange(bins, displaced))
 
     def mutate(self, bins: Bins, share: float = 0.03) -> Bins:
-        """Empties the least filled bins and a few others, and best-fits their pieces."""
+        """Empties the least filled bins and a few others; their pieces are exchanged for others and best-fitted."""
         ranked = sorted(range(len(bins)), key=lambda k: self.fill(bins[k]))
         n = max(2, int(len(bins) * share))
         gone = set(ranked[:n]) | {ranked[k] for k in self.random.integers(0, len(ranked), n)} if ranked else set()
         kept = [list(b) for k, b in enumerate(bins) if k not in gone]
-        return self.best_fit(kept, [i for k in gone for i in bins[k]], 0.02)
+        return self.best_fit(kept, self.exchange(kept, [i for k in gone for i in bins[k]]), 0.02)
 
     def inject(self, patterns: list[tuple[int, ...]]) -> Bins:
         """A packing that starts from bins with the given lengths, as far as the pieces allow."""
@@ -131,7 +165,7 @@ class Island:
         for _ in range(generations):
             if len(pool[0]) <= bound:
                 break
-            a, b = pool[0], pool[int(self.random.integers(1, len(pool)))]
+            a, b = (pool[int(k)] for k in self.random.choice(len(pool), 2, replace=False))
             for child in (self.crossover(a, b), self.mutate(a)):
                 if self.cost(child) < self.cost(pool[-1]):
                     pool[-1] = child

@@ -88,3 +88,39 @@ def test_genetic_operators_keep_all_pieces():
     for child in (world.crossover(a, b), world.mutate(a), world.inject([tuple(p) for p in world.elites(b, 20)]), world.evolve([], 5, 4)):
         assert sorted(i for x in child for i in x) == list(range(300)) and max(map(world.fill, child)) <= 100
     assert len(world.evolve([], 5, 4)) <= len(a)
+
+
+def triplets(n, seed, capacity=1000, step=50):
+    """Lengths of which three always fill a bin; best-fit by length needs about a tenth more bins."""
+    r, out = np.random.default_rng(seed), []
+    while len(out) < 3 * n:
+        a, b = int(r.integers(8, 10)) * step, int(r.integers(5, 8)) * step
+        out += [a, b, capacity - a - b] if capacity - a - b >= 200 else []
+    return r.permutation(out)
+
+
+def test_crossover_and_migration_win_bins(monkeypatch):
+    best_fit, alone, crossed, visited = 0, 0, 0, 0
+    for seed in range(4):
+        lengths, other = triplets(100, seed), P.Island(triplets(100, 100 + seed), 1000, 2)
+        patterns = [tuple(p) for p in other.elites(other.evolve([], 40, 6), 64)]
+        best_fit += len(P.Island(lengths, 1000, 1).best_fit([], list(range(300))))
+        alone += len(P.Island(lengths, 1000, 1).evolve([], 2, 6))
+        visited += len(P.Island(lengths, 1000, 1).evolve(patterns, 2, 6))
+        with monkeypatch.context() as m:
+            m.setattr(P.Island, "mutate", lambda self, bins: bins)
+            only = P.Island(lengths, 1000, 1).evolve([], 40, 6)
+        assert sorted(i for b in only for i in b) == list(range(300)) and all(sum(lengths[i] for i in b) <= 1000 for b in only)
+        crossed += len(only)
+    print("bins of 400 at best: best-fit", best_fit, "crossover alone", crossed, "two generations", alone, "with migrants", visited)
+    assert 400 <= crossed <= best_fit - 8 and 400 <= visited < alone < best_fit
+
+
+def test_islands_beat_best_fit(spark):
+    """Three islands with migration, on lengths about a third of the capacity."""
+    lengths = [int(n) for seed in range(3) for n in triplets(80, seed)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = P.pack(pieces, 1000, island_pieces=240).toPandas()
+    assert len(got) == 720 and got.groupby("sequence_id")["length"].sum().max() <= 1000
+    plain = len(P.Island(np.array(lengths), 1000, 0).best_fit([], list(range(720))))
+    assert got["sequence_id"].nunique() <= plain - 6
