@@ -54,13 +54,17 @@ def chunk_start(k: Column) -> Column:
     return F.coalesce(F.get(F.col("c_ends"), k - 1) + 1, F.lit(0))
 
 
+def lines_between(first: Column, last: Column) -> Column:
+    """The text of lines ``first`` to ``last``; time in proportion to their number, which slice() does not give."""
+    return F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(F.col("c_lines"), i)), "\n")
+
+
 def chunks(rows: DataFrame, min_lines: int, min_chars: int) -> DataFrame:
     """A row for each chunk that is long enough: ``c_doc, c_key, k, chunk``."""
-    spans = F.transform("c_ends", lambda e, k: F.struct(k.alias("k"), chunk_start(k).alias("a"), (e - chunk_start(k) + 1).alias("n")))
-    counted = F.filter(spans, lambda s: (s["n"] >= min_lines) | (F.length(F.get("c_lines", s["a"])) >= LONG_CHARS))
-    exploded = rows.select("c_doc", "c_key", "c_lines", F.explode(counted).alias("s"))
-    text = F.array_join(F.slice("c_lines", F.col("s.a") + 1, F.col("s.n")), "\n")
-    return exploded.select("c_doc", "c_key", F.col("s.k").alias("k"), text.alias("chunk")).where(F.length("chunk") >= min_chars)
+    # texts are put together before the rows multiply, so that no row carries its whole document
+    spans = F.transform("c_ends", lambda e, k: F.struct(k.alias("k"), (e - chunk_start(k) + 1).alias("n"), lines_between(chunk_start(k), e).alias("chunk")))
+    counted = F.filter(spans, lambda s: ((s["n"] >= min_lines) | (F.length(s["chunk"]) >= LONG_CHARS)) & (F.length(s["chunk"]) >= min_chars))
+    return rows.select("c_doc", "c_key", F.explode(counted).alias("s")).select("c_doc", "c_key", F.col("s.k").alias("k"), F.col("s.chunk").alias("chunk"))
 
 
 def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -86,9 +90,9 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES, min_li
     gone = own.select("c_doc", "c_key", F.array_compact(extra).alias("c_gone")).where(F.size("c_gone") > 0)
 
     rows = with_lines(with_keys(docs.select(*names)).join(gone, ["c_doc", "c_key"], "left"), mean_lines)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("c_ends") - 1), F.col("c_gone"))
-    parts = F.transform(kept, lambda k: F.slice(F.col("c_lines"), chunk_start(k) + 1, F.get(F.col("c_ends"), k) - chunk_start(k) + 1))
-    rows = rows.withColumn("c_left", F.when(F.col("c_gone").isNotNull(), F.flatten(parts)))
+    cut = F.flatten(F.transform("c_gone", lambda k: F.sequence(chunk_start(k), F.get(F.col("c_ends"), k))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("c_lines") - 1), cut)
+    rows = rows.withColumn("c_left", F.when(F.col("c_gone").isNotNull(), F.transform(kept, lambda i: F.get(F.col("c_lines"), i))))
     text = F.when(F.col("c_gone").isNull(), F.col("text")).otherwise(F.array_join("c_left", "\n"))
     n_lines = F.size("c_lines").cast("long")
     return rows.select(

@@ -34,6 +34,17 @@ def brute(rows, items, window):
     return out
 
 
+def contaminated(texts, items, window=10):
+    """Numbers of the texts in which a window of an item occurs."""
+    windows = {}
+    for w in map(words, items):
+        k = min(window, len(w))
+        for j in range(len(w) - k + 1 if k else 0):
+            windows.setdefault(k, set()).add(tuple(w[j : j + k]))
+    split = [words(t) for t in texts]
+    return [n for n, w in enumerate(split) if any(tuple(w[j : j + k]) in known for k, known in windows.items() for j in range(len(w) - k + 1))]
+
+
 @pytest.fixture(scope="module")
 def items(corpus):
     long = corpus[0][1] + " " + corpus[5][1]

@@ -11,16 +11,16 @@ from skyquilt.llm.components import connected_components
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
-def sets(rows):
+def sets(rows, size=4):
     out = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOW))
-        out.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else ({tuple(w)} if w else set()))
+        out.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
     return out
 
 
-def brute(rows):
-    s, parent = sets(rows), list(range(len(rows)))
+def brute(rows, size=4, percent=85):
+    s, parent = sets(rows, size), list(range(len(rows)))
 
     def root(i):
         while parent[i] != i:
@@ -29,7 +29,7 @@ def brute(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if s[i] and s[j] and 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j]):
+            if s[i] and s[j] and min(len(s[i]), len(s[j])) * 100 >= percent * max(len(s[i]), len(s[j])) and 100 * len(s[i] & s[j]) >= percent * len(s[i] | s[j]):
                 parent[root(i)] = root(j)
     least = {}
     for i, (d, _) in enumerate(rows):

@@ -1,8 +1,10 @@
 import os
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as C
+from skyquilt.llm import quality
 from skyquilt.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +35,42 @@ def test_near_copies_go_at_five_words_and_80_percent(spark):
     assert sorted(str(r.doc_id) for r in C.one_of_each_group(spark, docs, SF).collect()) == ["1", "3", "4", "None"]
 
 
+def test_stages_against_brute_force(spark):
+    """Each stage on all that the one before kept, with nulls, empty and long texts, ties and repeated rows among the documents."""
+    import test_decontamination
+    import test_jaccard
+    import test_lines_and_secrets
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    kinds = table.select("doc_id", "text", "lang", "source", "n_chars")
+    first = kinds.orderBy("doc_id").limit(3).collect()
+    odd = [(None, None, "en", "s", 0), (None, first[0].text, "en", "s", 1), (9_000_001, "", "en", "s", 0), (9_000_002, first[1].text, "en", "s", 1), (9_000_002, first[1].text, "en", "s", 1), (9_000_003, " ".join(f"long{i}" for i in range(60_000)), "en", "s", 2), (9_000_004, "one two", None, None, None)]
+    docs = kinds.union(spark.createDataFrame(odd, kinds.schema)).repartition(3)
+    rows = lambda df: sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=str)
+
+    kept = materialize(C.keep_quality(spark, docs, SF), "quality")
+    model = quality.fit(table.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet"))
+    c = quality.Compressors(model)
+    score = lambda t: 1 / (1 + np.exp(-np.clip(quality.design(np.array([c.features((t or "").encode())]))[0] @ np.array(model.weights) + model.shift, -30, 30)))
+    assert rows(kept) == [r for r in rows(docs) if score(r[1]) >= C.THRESHOLD]
+
+    cut = materialize(C.dedup_lines(spark, kept, SF), "lines")
+    brute = test_lines_and_secrets.brute(rows(kept))
+    assert rows(cut) == sorted(((d, t) for d, t, _, n, _ in brute if n == 0 or t.strip()), key=str)
+
+    single = materialize(C.one_of_each_group(spark, cut, SF), "single")
+    groups = test_jaccard.brute(rows(cut), C.SHINGLE, C.PERCENT)
+    assert rows(single) == sorted((r for r, (d, _, g) in zip(rows(cut), groups, strict=True) if d is None or d == g), key=str)
+
+    clean = materialize(C.decontaminated(spark, single, SF), "clean")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {str(k) for k in test_decontamination.contaminated([t for _, t in rows(single)], [t for _, t in items])}
+    assert rows(clean) == [r for k, r in enumerate(rows(single)) if str(k) not in hit]
+
+    packed = C.packed(spark, clean, SF).toPandas()
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 4096 and len(packed) >= clean.count()
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, stage in C.STAGES:

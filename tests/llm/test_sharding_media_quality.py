@@ -1,9 +1,11 @@
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from llm_helpers import same
@@ -32,6 +34,44 @@ def test_bounded_loads_move_little(spark):
         R.quotas({5: 100}, 3, 4, [30, 30, 30])
 
 
+@pytest.mark.parametrize("slack", [0.0, 0.25])
+def test_ring_replayed_key_by_key(spark, slack):
+    """Each key walks the ring by itself: its own shard while it has room, the rest clockwise afterwards."""
+    shards, nodes, n = 6, 8, 3000
+    ids = [int(i) for i in np.random.default_rng(6).integers(0, 10**9, n)]
+    docs = spark.createDataFrame([(i, f"t{i % 7}") for i in ids], "doc_id long, text string")
+    got = {(r.doc_id, r.slot): r.shard for r in R.shard_documents(docs, shards, nodes, slack).collect()}
+    h = lambda i: xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+    ring = sorted((int.from_bytes(hashlib.sha256(f"{s}/{v}".encode()).digest()[:4], "big") % 65536, s) for s in range(shards) for v in range(nodes))
+    room = [max(-(-n // shards), int((1 + slack) * n / shards))] * shards if slack else [n // shards + (s < n % shards) for s in range(shards)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    used, waiting, want = [0] * shards, [], {}
+
+    def place(i, shard):
+        want[(i, used[shard])] = shard
+        used[shard] += 1
+        room[shard] -= 1
+
+    for i in sorted(ids, key=lambda i: (h(i) >> 48, signed(h(i)), i)):
+        at = next((k for k, (b, _) in enumerate(ring) if b >= h(i) >> 48), 0)
+        if room[ring[at][1]]:
+            place(i, ring[at][1])
+        else:
+            waiting.append((i, at))
+    for i, at in waiting:
+        while not room[ring[at % len(ring)][1]]:
+            at += 1
+        place(i, ring[at % len(ring)][1])
+    assert got == want
+
+
+def test_movement_from_24_to_25_shards(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    share = [R.moved(R.shard_documents(docs, 24, slack=s), R.shard_documents(docs, 25, slack=s)).first().n_moved for s in (0.0, 0.25)]
+    print("moved of 10,000", share)
+    assert share[0] < 1200 and share[1] < 700
+
+
 def test_g711_tables_and_adpcm():
     assert (M.MULAW[0], M.MULAW[0x80], M.MULAW[0x7F], M.MULAW[0xFF]) == (-32124, 32124, 0, 0)
     assert (M.ALAW[0x55], M.ALAW[0xD5], M.ALAW[0x2A], M.ALAW[0xAA]) == (-8, 8, -32256, 32256)
@@ -89,3 +129,38 @@ def test_quality_without_labels_or_rows(spark, docs, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in Q.score(docs, none).collect()} == {0.5}
     assert Q.score(nothing, none).count() == 0
+
+
+def test_scores_against_brute_force(spark, docs):
+    """Scores worked out text by text from the fitted model, on nulls, repeated rows and long texts too; no held-out label is used."""
+    rng = random.Random(4)
+    good, bad = "the river ran past a quiet stone village in autumn".split(), "win cash now click here free $$$ bonus".split()
+    texts = [" ".join(rng.choice(good if i % 2 else bad) for _ in range(rng.randint(20, 80))) for i in range(120)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])] * 5, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    labels = [(i, i % 2) for i in range(120)]
+    model = Q.fit(rows, spark.createDataFrame(labels + labels[:9], "doc_id long, quality int"))
+    flipped = [(i, 1 - q if held(i) else q) for i, q in labels]
+    assert Q.fit(rows, spark.createDataFrame(flipped, "doc_id long, quality int")) == model
+    c = Q.Compressors(model)
+
+    def want(text):
+        a = Q.design(np.array([c.features((text or "").encode())]))[0]
+        return 1 / (1 + np.exp(-np.clip(a @ np.array(model.weights) + model.shift, -30, 30)))
+
+    odd = [(1000, None), (1001, ""), (1002, "x" * 200_000), (None, texts[4]), (1003, texts[4]), (1003, texts[4])]
+    score = Q.score_udf(spark, model)
+    got = spark.createDataFrame(odd + list(enumerate(texts)), "doc_id long, text string").select("text", score(F.coalesce("text", F.lit(""))).alias("s")).collect()
+    assert len(got) == 126 and all(r.s == pytest.approx(want(r.text), abs=1e-9) for r in got)
+    assert sum((want(t) >= 0.5) == bool(i % 2) for i, t in enumerate(texts) if held(i)) >= 0.95 * sum(map(held, range(120)))
+
+
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Texts beyond the bound stay on the executors; repeated ids count once."""
+    rows = spark.createDataFrame([(i, "word " * 200) for i in range(60)] + [(1, "word " * 200)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "SAMPLE_BYTES", 5000)
+    monkeypatch.setattr(Q, "train_dictionary", lambda samples: seen.append(sum(map(len, samples))) or b"")
+    Q.fit(rows, labels)
+    assert seen and all(0 < n <= 5000 for n in seen)
