@@ -1,8 +1,9 @@
 """Corpus pipeline: documents pass a quality classifier, line dedup, near-duplicate removal and benchmark decontamination, and are packed.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last
-return the columns of docs. Documents are told apart by doc_id; rows without one are never dropped
-as copies. Empty tables pass through every stage.
+return the columns of docs. Documents are told apart by doc_id: rows without one are never dropped
+as copies, and rows that repeat one doc_id and text are one document, so they stay or go together.
+Empty tables pass through every stage.
 """
 
 from __future__ import annotations
