@@ -95,12 +95,14 @@ def remove_repeated_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES, min_li
     rows = rows.withColumn("c_left", F.when(F.col("c_gone").isNotNull(), F.transform(kept, lambda i: F.get(F.col("c_lines"), i))))
     text = F.when(F.col("c_gone").isNull(), F.col("text")).otherwise(F.array_join("c_left", "\n"))
     n_lines = F.size("c_lines").cast("long")
-    return rows.select(
-        *[text.alias("text") if c == "text" else F.col(c) for c in names],
-        n_lines.alias("n_lines"),
+    result = F.struct(
+        text.alias("text"), n_lines.alias("n_lines"),
         F.when(F.col("c_gone").isNull(), 0).otherwise(F.size("c_gone")).cast("long").alias("n_removed_chunks"),
         F.when(F.col("c_gone").isNull(), 0).otherwise(n_lines - F.size("c_left")).cast("long").alias("n_removed_lines"),
-    )
+    )
+    # the generator keeps later filters on the results from being rewritten in terms of lines, once for each line
+    rows = rows.select(*[c for c in names if c != "text"], F.explode(F.array(result)).alias("c_result"))
+    return rows.select(*[F.col("c_result.text") if c == "text" else F.col(c) for c in names], *[F.col(f"c_result.{c}") for c in ADDED])
 
 
 ORACLE = f"""
