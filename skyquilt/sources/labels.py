@@ -45,7 +45,7 @@ def fields(xml: str | None) -> dict | None:
     except (ElementTree.ParseError, ValueError):
         return None
     local = lambda e: e.tag.rpartition("}")[2]
-    text = lambda e: "".join(e.itertext())
+    text = lambda e: "".join(e.itertext()).strip(" \t\n\v\f\r") or None
     if local(root) != "Product_Observational":
         return None
     by_name: dict[str, list] = {}
@@ -57,17 +57,18 @@ def fields(xml: str | None) -> dict | None:
             for part in e.iter():
                 if part is not e and local(part) == "Axis_Array":
                     names = [text(c) for c in part if local(c) == "axis_name"]
-                    if names and " ".join(names[0].split()).lower() == axis:
+                    if names and " ".join((names[0] or "").split()).lower() == axis:
                         for c in part:
                             if local(c) == "elements":
                                 return text(c)
         return None
 
     def inside(block: str) -> list[str | None]:
-        found: dict[str, str] = {}
+        found: dict[str, str | None] = {}
         for e in by_name.get(block, ()):
             for c in e.iter():
-                found.setdefault(local(c), text(c))
+                if (name := local(c)) in CORNERS:
+                    found.setdefault(name, text(c))
         return [found.get(c) for c in CORNERS]
 
     out: dict = {n: text(by_name[n][0]) for n in SINGLE if n in by_name}
@@ -90,10 +91,10 @@ def parse(labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     read.__annotations__ = {"xml": pa.Array, "return": pa.Array}
     names = ", ".join(f"{f.name}: {'string' if f.type == pa.string() else 'array<string>'}" for f in FIELDS)
     found = labels.where(F.col("xml").isNotNull()).select("path", *keep, "xml", F.arrow_udf(read, f"struct<{names}>")("xml").alias("x")).where(F.col("x").isNotNull())
-    get = lambda tag: X.strip(F.col(f"x.{tag}"))
+    get = lambda tag: F.col(f"x.{tag}")
     num = lambda tag: get(tag).try_cast("double")
-    axis = lambda name: F.coalesce(*[X.strip(F.get(f"x.{name}", F.lit(k))).try_cast("long") for k in range(len(ARRAYS))])
-    corner = lambda k: X.strip(F.get("x.corners", F.lit(k))).try_cast("double")
+    axis = lambda name: F.coalesce(*[F.get(f"x.{name}", F.lit(k)).try_cast("long") for k in range(len(ARRAYS))])
+    corner = lambda k: F.get("x.corners", F.lit(k)).try_cast("double")
     corners = F.array(*[F.struct(corner(2 * k).alias("lat"), corner(2 * k + 1).alias("lon")) for k in range(4)])
     footprint = F.when(F.forall(corners, lambda c: c["lat"].isNotNull() & c["lon"].isNotNull()), corners).otherwise(F.slice(corners, 1, 0))
     file_name = get("file_name")
