@@ -142,3 +142,13 @@ def test_dbf_and_shapefile(spark, tmp_path):
     r = cat.orderBy("row_index").first()
     assert (r.PRODUCT_ID, r.UL_LAT, r.geometry_bounds.x0, len(r.geometry)) == ("one", "1.5", 140.0, 4)
     assert dbf.search(spark.createDataFrame([("Abc", 1), ("x", 2)], "a string, b int"), "bC 1").count() == 1
+
+
+def test_catalogs_are_found_by_name(spark, tmp_path):
+    for name in ("a/ch2_ohr_cal_1.shp", "a/b/ch2_ohr_cal_0.shp", "a/ch2_tmc_cal_1.shp", "a/ch2_ohr_raw.shp", "a/ch2_ohr_cal_1.dbf"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    got = [r.path.rsplit("/", 1)[1] for r in shapefile.discover_catalogs(spark, str(tmp_path), "OHRC").collect()]
+    assert sorted(got) == ["ch2_ohr_cal_0.shp", "ch2_ohr_cal_1.shp"]
+    with pytest.raises(ValueError, match="unsupported"):
+        shapefile.discover_catalogs(spark, str(tmp_path), "IIRS")
