@@ -28,6 +28,8 @@ ISLAND_PIECES = 12_000
 EPOCHS = 2
 GENERATIONS = 40
 POPULATION = 6
+#: Generations without a better packing after which an island stops.
+PATIENCE = 8
 #: Bins in which a child tries exchanges with its displaced pieces.
 EXCHANGES = 300
 ELITES = 64
@@ -155,21 +157,34 @@ class Island:
                 bins.append([by_length[n].pop() for n in p])
         return self.best_fit(bins, [i for left in by_length.values() for i in left])
 
+    def least_bins(self) -> int:
+        """A lower bound: all tokens, or for some k the pieces over half a bin and what of those from k to half does not fit beside them."""
+        n, cap = np.array(self.lengths, np.int64), self.capacity
+        bound = -(-int(n.sum()) // cap)
+        for k in np.unique(n[2 * n <= cap])[:: max(1, len(np.unique(n[2 * n <= cap])) // 64)].tolist():
+            alone, half, rest = n > cap - k, (2 * n > cap) & (n <= cap - k), (n >= k) & (2 * n <= cap)
+            over = int(n[rest].sum()) - (int(half.sum()) * cap - int(n[half].sum()))
+            bound = max(bound, int(alone.sum()) + int(half.sum()) + max(0, -(-over // cap)))
+        return max(bound, int((2 * n > cap).sum()))
+
     def evolve(self, patterns: list[tuple[int, ...]], generations: int, population: int) -> Bins:
         everything = list(range(len(self.lengths)))
-        bound = -(-sum(self.lengths) // self.capacity)
+        bound = self.least_bins()
         pool = [self.best_fit([], everything), self.inject(patterns)]
         if min(map(len, pool)) > bound:
             pool += [self.best_fit([], everything, 0.01 * k) for k in range(1, population - 1)]
         pool.sort(key=self.cost)
+        idle = 0
         for _ in range(generations):
-            if len(pool[0]) <= bound:
+            if len(pool[0]) <= bound or idle == PATIENCE:
                 break
+            before = min(map(len, pool))
             a, b = (pool[int(k)] for k in self.random.choice(len(pool), 2, replace=False))
             for child in (self.crossover(a, b), self.mutate(a)):
                 if self.cost(child) < self.cost(pool[-1]):
                     pool[-1] = child
                     pool.sort(key=self.cost)
+            idle = 0 if min(map(len, pool)) < before else idle + 1
         return pool[0]
 
     def elites(self, bins: Bins, n: int) -> list[list[int]]:
