@@ -96,10 +96,10 @@ class Encoder:
 
     def clear(self) -> None:
         self.table, self.n = Table(), 1
-        self.first, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.first, self.size = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.pool, self.used = np.zeros(1 << 17, np.uint32), 1
         self.pool[0], self.size[0] = self.end_id, 1  # piece 0 is the end of a text
-        self.at, self.length = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int32)
+        self.at, self.length = np.zeros(1 << 15, np.int32), np.zeros(1 << 15, np.int32)
         self.raw, self.kept = np.zeros(1 << 18, np.uint8), 0
         self.others: dict[bytes, int] = {}  # pieces whose hash another piece has
 
