@@ -150,7 +150,7 @@ ANGLES_SQL = """angles AS (SELECT s_suppkey AS product_id, CASE WHEN s_suppkey %
 
 
 def angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = F.round("s_acctbal", 0)
+    whole = F.signum("s_acctbal") * F.round(F.abs("s_acctbal"), 0)  # SQL rounds -0.3 to -0.0, which the notes show
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("product_id"), F.when(F.col("s_suppkey") % 7 != 0, whole % 90).alias("elev"), (whole * 7 % 360).alias("azim"))
 
 
