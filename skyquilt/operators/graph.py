@@ -10,10 +10,17 @@ from skyquilt.session import cut
 PAD_RATIO = 3.0
 
 
-def knn_edges(nodes: DataFrame, k: int, group: str = "g", key: str = "id", cell: float | None = None) -> DataFrame:
+def significant(v: Column, digits: int) -> Column:
+    """A value of 0 or more, rounded to so many digits from its first."""
+    p = F.pow(F.lit(10.0), digits - 1 - F.floor(F.log10(v)))
+    return F.when(v > 0, F.rint(v * p) / p).otherwise(v)
+
+
+def knn_edges(nodes: DataFrame, k: int, group: str = "g", key: str = "id", cell: float | None = None, digits: int | None = None) -> DataFrame:
     """Undirected edges ``group, a, b, dist, size_ratio`` of each node's k nearest nodes in its group.
 
-    nodes: ``g, id, x, y, radius``; x and y in metres. Distance ties go to the lower id. Nodes are
+    nodes: ``g, id, x, y, radius``; x and y in metres. Distance ties go to the lower id; with ``digits``
+    distances are tied whose squares agree to so many digits, as scaling or turning a graph moves the last ones. Nodes are
     compared within 3 x 3 cells, which settle those whose k-th neighbour is nearer than a cell; the
     rest go on with wider cells, in the end with their whole group. The first ``cell`` holds about k nodes
     if they spread evenly, unless it is given.
@@ -26,7 +33,8 @@ def knn_edges(nodes: DataFrame, k: int, group: str = "g", key: str = "id", cell:
         size = span = 1.0
     size = cell or max(size, span / 2**20, 1e-6)
     d2 = F.pow(F.col("a_x") - F.col("b_x"), 2) + F.pow(F.col("a_y") - F.col("b_y"), 2)
-    order = Window.partitionBy(group, f"a_{key}").orderBy("d2", f"b_{key}")
+    order = Window.partitionBy(group, f"a_{key}").orderBy("d2" if digits is None else significant(F.col("d2"), digits), f"b_{key}")
+    sure = 1.0 if digits is None else 1 - 10.0 ** (2 - digits)  # nothing beyond a cell is tied with what is nearer than that
     near, left = None, a
     while True:
         last = size >= span
@@ -36,7 +44,7 @@ def knn_edges(nodes: DataFrame, k: int, group: str = "g", key: str = "id", cell:
         close = met.withColumn("d2", d2).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
         if not last:
             close = cut(close)
-            full = close.groupBy(group, f"a_{key}").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= size * size)).select(group, f"a_{key}")
+            full = close.groupBy(group, f"a_{key}").agg(F.count("*").alias("n"), F.max("d2").alias("far")).where((F.col("n") == k) & (F.col("far") <= size * size * sure)).select(group, f"a_{key}")
             left = cut(left.join(full, [group, f"a_{key}"], "left_anti"))
             close = close.join(full, [group, f"a_{key}"], "left_semi")
             last = left.limit(1).count() == 0
@@ -52,14 +60,15 @@ def size_ratio(r1: Column, r2: Column) -> Column:
     return F.when(F.greatest(r1, r2) > 0, F.least(r1, r2) / F.greatest(r1, r2)).otherwise(F.lit(0.0))
 
 
-def neighborhoods(nodes: DataFrame, edges: DataFrame, k: int, group: str = "g", key: str = "id") -> DataFrame:
+def neighborhoods(nodes: DataFrame, edges: DataFrame, k: int, group: str = "g", key: str = "id", digits: int | None = None) -> DataFrame:
     """``group, id, ids, dist, dist_ratio, size_ratio, descriptor`` of each node: its k nearest along edges, padded.
 
     Padding: id -1, distance infinite, distance ratio 3, size ratio 0. Ratios are to the median distance.
-    The descriptor is the distance ratios followed by the size ratios.
+    The descriptor is the distance ratios followed by the size ratios. ``digits`` as for the edges.
     """
     both = edges.select(group, F.col("a").alias(key), F.col("b").alias("nb"), "dist", "size_ratio").unionByName(edges.select(group, F.col("b").alias(key), F.col("a").alias("nb"), "dist", "size_ratio"))
-    nth = F.row_number().over(Window.partitionBy(group, key).orderBy("dist", "nb"))
+    far = F.col("dist") if digits is None else significant(F.pow("dist", F.lit(2)), digits)
+    nth = F.row_number().over(Window.partitionBy(group, key).orderBy(far, "nb"))
     near = both.withColumn("nth", nth).where(F.col("nth") <= k).groupBy(group, key).agg(F.array_sort(F.collect_list(F.struct("nth", "nb", "dist", "size_ratio"))).alias("s"), F.median("dist").alias("med"))
     n = nodes.select(group, key).join(near, [group, key], "left")
     have = F.coalesce(F.size(F.when(F.col("s").isNotNull(), F.col("s"))), F.lit(0))
@@ -117,11 +126,24 @@ def mutual_matches(hood_a: DataFrame, hood_b: DataFrame, n_candidates: int = 8,
 
     Partners are taken nearest first, each the cheapest unused one within the tolerances of log
     distance and size ratio; this order matters, so an Arrow UDF does it for the shortlisted pairs.
+
+    Nodes of a side that agree in all that is compared cannot be told apart. They are compared once, and
+    when they match such nodes of the other side they are dealt out to these one to one in the order of
+    ids (from the first again where B has fewer). For the ratio test they are each other's rivals.
     """
     import pandas as pd
 
-    side = lambda h, s: h.select(group, F.col("id").alias(f"{s}_id"), F.col("descriptor").alias(f"{s}_d"), F.struct("ids", F.col("dist" if physical else "dist_ratio").alias("d"), F.col("size_ratio").alias("s")).alias(f"{s}_n"))
-    a, b = side(hood_a, "a"), side(hood_b, "b")
+    def side(hood: DataFrame, s: str) -> DataFrame:
+        d = "dist" if physical else "dist_ratio"
+        have = F.size(F.filter("ids", lambda i: i != -1))
+        alike = Window.partitionBy(group, F.transform(F.concat("descriptor", d), lambda v: F.round(v, 9) + 0.0), have)
+        return hood.select(
+            group, F.col("id").alias(f"{s}_node"), F.col("descriptor").alias(f"{s}_d"), F.struct("ids", F.col(d).alias("d"), F.col("size_ratio").alias("s")).alias(f"{s}_n"),
+            F.min("id").over(alike).alias(f"{s}_id"), F.row_number().over(alike.orderBy("id")).alias(f"{s}_place"), F.count("*").over(alike).alias(f"{s}_size"),
+        )
+
+    a_nodes, b_nodes = cut(side(hood_a, "a")), cut(side(hood_b, "b"))
+    a, b = a_nodes.where("a_place = 1"), b_nodes.where("b_place = 1")
     dissimilar = 1 - gaussian_similarity(F.col("a_d"), F.col("b_d"), sigma)
     short = top_matches(a.select(group, "a_id", "a_d"), b.select(group, "b_id", "b_d"), dissimilar, n_candidates, group).where(F.col("cost") <= 1 - min_similarity)
 
@@ -130,15 +152,18 @@ def mutual_matches(hood_a: DataFrame, hood_b: DataFrame, n_candidates: int = 8,
 
     count.__annotations__ = {"x": pd.DataFrame, "y": pd.DataFrame, "return": pd.Series}
     partners = F.pandas_udf(count, "long")
-    hits = short.join(a.select(group, "a_id", "a_n"), [group, "a_id"]).join(b.select(group, "b_id", "b_n"), [group, "b_id"])
+    hits = short.join(a.select(group, "a_id", "a_n"), [group, "a_id"]).join(b.select(group, "b_id", "b_n", "b_size"), [group, "b_id"])
     have = F.size(F.filter("a_n.ids", lambda i: i != -1))
-    scored = hits.select(group, "a_id", "b_id", "nth", partners("a_n", "b_n").alias("count"), have.alias("have")).withColumn("fraction", F.coalesce(F.try_divide("count", "have"), F.lit(0.0)))
+    scored = hits.select(group, "a_id", "b_id", "b_size", "nth", partners("a_n", "b_n").alias("count"), have.alias("have")).withColumn("fraction", F.coalesce(F.try_divide("count", "have"), F.lit(0.0)))
     w = Window.partitionBy(group, "a_id").orderBy(F.desc("fraction"), "nth")
-    best = scored.withColumn("r", F.row_number().over(w)).withColumn("second", F.lead("fraction").over(w)).where("r = 1").where(F.col("fraction") >= min_fraction)
+    rival = F.when(F.lit(n_candidates > 1) & (F.col("b_size") > 1), F.col("fraction")).otherwise(F.lead("fraction").over(w))
+    best = scored.withColumn("r", F.row_number().over(w)).withColumn("second", rival).where("r = 1").where(F.col("fraction") >= min_fraction)
     if ratio is not None:
         rival = 1 - F.col("second")
         best = best.where(F.col("second").isNull() | (rival <= 0) | (1 - F.col("fraction") < ratio * rival))
-    return best.select(group, "a_id", "b_id", F.col("fraction").alias("similarity"), F.col("count").alias("mutual_count"))
+    dealt = a_nodes.select(group, "a_id", "a_node", "a_place").join(best, [group, "a_id"]).withColumn("b_place", (F.col("a_place") - 1) % F.col("b_size") + 1)
+    met = dealt.join(b_nodes.select(group, "b_id", "b_place", "b_node"), [group, "b_id", "b_place"])
+    return met.select(group, F.col("a_node").alias("a_id"), F.col("b_node").alias("b_id"), F.col("fraction").alias("similarity"), F.col("count").alias("mutual_count"))
 
 
 def greedy_partners(ids_a, d_a, s_a, ids_b, d_b, s_b, d_tol: float, s_tol: float) -> int:  # noqa: ANN001

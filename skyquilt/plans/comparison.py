@@ -12,7 +12,7 @@ from skyquilt.operators import graph, registration, scoring
 def match_graphs(a: DataFrame, b: DataFrame, k: int = 4, min_radius: float = 0.0, **limits: object) -> DataFrame:
     """Matched points ``g, a_id, b_id, ax, ay, bx, by`` of two node tables (``g, id, x, y, radius``)."""
     big = [n.where(F.col("radius") >= min_radius) for n in (a, b)]
-    hoods = [graph.neighborhoods(n, graph.knn_edges(n, k), k) for n in big]
+    hoods = [graph.neighborhoods(n, graph.knn_edges(n, k, digits=10), k, digits=10) for n in big]
     return graph.match_points(graph.mutual_matches(*hoods, **limits), *big)
 
 

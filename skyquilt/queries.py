@@ -513,7 +513,7 @@ def mutual_neighbour_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of each label's points against itself scaled by 1.5: nodes find themselves."""
     a = nodes(spark, sf_dir)
     b = a.select("g", "id", (F.col("x") * 1.5).alias("x"), (F.col("y") * 1.5).alias("y"), (F.col("radius") * 1.5).alias("radius"))
-    hood = lambda n: graph.neighborhoods(n, graph.knn_edges(n, 4), 4)
+    hood = lambda n: graph.neighborhoods(n, graph.knn_edges(n, 4, digits=10), 4, digits=10)
     return graph.mutual_matches(hood(a), hood(b), ratio=None).select("g", "a_id", "b_id", F.round("similarity", 6).alias("similarity"))
 
 

@@ -28,3 +28,19 @@ NATIONS = "SELECT i::INTEGER AS n_nationkey FROM range(25) t(i)"
 
 def test_sun_match_of_balances_that_round_to_minus_zero(agrees):
     agrees("sun_match_cross", supplier=SUPPLIERS, nation=NATIONS)
+
+
+def vectors(points):
+    """SELECT of embeddings whose points come to lie at places in steps of a hundredth."""
+    values = ", ".join(f"({i}, {label}, [{x / 50000}, {y / 25000}])" for i, (label, x, y) in enumerate(points))
+    return f"SELECT i::BIGINT AS vec_id, v::FLOAT[] AS embedding, g::INTEGER AS label FROM (VALUES {values}) t(i, g, v)"
+
+
+def test_copies_of_points_find_themselves(agrees):
+    agrees("mutual_neighbour_match", embeddings=vectors([(0, 700 * k % 997, 300 * k % 991) for k in range(25)] * 6))
+
+
+def test_neighbours_at_one_distance_keep_their_order_when_scaled(agrees):
+    # neighbours 3, 4 and 5 steps off on circles around each centre: distances that are equal but for rounding
+    ring = [(0, 0), (30, 40), (50, 0), (-14, 48), (0, -50), (-48, -14), (40, -30)]
+    agrees("mutual_neighbour_match", embeddings=vectors([(0, 1700 * k + 7 + x + k % 3, 911 * k % 5003 + 1 + y) for k in range(12) for x, y in ring]))
