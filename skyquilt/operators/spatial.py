@@ -37,7 +37,27 @@ def overlap_join(a: DataFrame, b: DataFrame, ring_a: str = "a_ring", ring_b: str
     right = b.where(F.size(ring_b) >= 3).withColumn("b_box", G.bounds(F.col(ring_b)))
     # the generator evaluates the clip once, whatever is taken from it later
     kept = F.filter(F.array(G.overlap(F.col(ring_a), F.col(ring_b))), lambda o: o.isNotNull() & (o["pct_smaller"] >= min_pct))
-    return box_candidates(left, right, cell=cell).drop("a_box", "b_box").withColumn("overlap", F.explode(kept))
+    met = box_candidates(left, right, cell=cell).drop("a_box", "b_box")
+    # clips are dear: few rows go to all cores too
+    return met.repartition(a.sparkSession.sparkContext.defaultParallelism, ring_a, ring_b).withColumn("overlap", F.explode(kept))
+
+
+def shapes(rows: DataFrame, side: str) -> DataFrame:
+    """The different boxes and rings of one side's rows, each once; ``a_shape`` (or ``b_shape``) tells them apart."""
+    return rows.select(F.col(f"{side}_box").alias(f"{side}_shape"), f"{side}_box", f"{side}_ring").distinct()
+
+
+def of_shapes(met: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Outcomes of pairs of shapes (``a_shape, b_shape, ...``) as those of all pairs of rows that have them, with ids as texts.
+
+    Each pair of shapes is computed once, however many rows have it. Merge joins deal the rows out by shape,
+    where a broadcast would leave very many pairs to the tasks of a few small files; hashes sort faster than boxes.
+    """
+    for s, rows in (("a", a), ("b", b)):
+        have = rows.select(F.col(f"{s}_box").alias(f"{s}_shape"), F.col(f"{s}_id").cast("string").alias(f"{s}_id"))
+        hashed = [df.withColumn("hash", F.xxhash64(f"{s}_shape")) for df in (met, have)]
+        met = hashed[0].join(hashed[1].hint("merge"), ["hash", f"{s}_shape"]).drop("hash", f"{s}_shape")
+    return met
 
 
 def count_points(polygons: DataFrame, points: DataFrame, key: str, ring: str = "ring", x: str = "x", y: str = "y", cell: float = 10.0) -> DataFrame:

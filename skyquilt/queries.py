@@ -84,9 +84,11 @@ def spatial_overlap_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {box_sql(*A_CUSTOMER)}, {box_sql(*B_SUPPLIER)}, {pairs_sql("100 * inter / least(area_a, area_b) >= 50")}
 SELECT a_id || '__x__' || b_id AS pair_id, round(pct, 6) AS pct_smaller, round(100 * inter / area_a, 6) AS pct_a, round(100 * inter / area_b, 6) AS pct_b, round(inter, 6) AS area FROM pairs""")
 def overlap_manifest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = spatial.overlap_join(boxes(spark, sf_dir, *A_CUSTOMER).drop("a_box"), boxes(spark, sf_dir, *B_SUPPLIER).drop("b_box"), min_pct=50.0)
+    a, b = boxes(spark, sf_dir, *A_CUSTOMER), boxes(spark, sf_dir, *B_SUPPLIER)
+    joined = spatial.overlap_join(spatial.shapes(a, "a").drop("a_box"), spatial.shapes(b, "b").drop("b_box"), min_pct=50.0)
     o = lambda c: F.round(f"overlap.{c}", 6)
-    return joined.select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), o("pct_smaller").alias("pct_smaller"), o("pct_a").alias("pct_a"), o("pct_b").alias("pct_b"), o("inter").alias("area"))
+    met = joined.select("a_shape", "b_shape", o("pct_smaller").alias("pct_smaller"), o("pct_a").alias("pct_a"), o("pct_b").alias("pct_b"), o("inter").alias("area"))
+    return spatial.of_shapes(met, a, b).select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), "pct_smaller", "pct_a", "pct_b", "area")
 
 
 @query(f"""WITH {box_sql(*A_SUPPLIER)}, {box_sql(*B_PART)}, {pairs_sql("true")}

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skyquilt.operators import spatial
 from test_entry import rows
 
 
@@ -23,6 +24,8 @@ def agrees(spark, tmp_path):
 
 
 SUPPLIERS = "SELECT i::BIGINT AS s_suppkey, [-0.3, 0.3, -0.5, 0.5, -89.7, -90.2, -1.5, 0.0, 450.5, NULL][i % 10 + 1]::DOUBLE AS s_acctbal FROM range(40) t(i)"
+#: Ids of two boxes, as boxes repeat after 10,080 ids.
+SAME_BOXES = "SELECT (10080 * (i // 2) + i % 2)::BIGINT AS {} FROM range(60) t(i)"
 NATIONS = "SELECT i::INTEGER AS n_nationkey FROM range(25) t(i)"
 
 
@@ -44,3 +47,10 @@ def test_neighbours_at_one_distance_keep_their_order_when_scaled(agrees):
     # neighbours 3, 4 and 5 steps off on circles around each centre: distances that are equal but for rounding
     ring = [(0, 0), (30, 40), (50, 0), (-14, 48), (0, -50), (-48, -14), (40, -30)]
     agrees("mutual_neighbour_match", embeddings=vectors([(0, 1700 * k + 7 + x + k % 3, 911 * k % 5003 + 1 + y) for k in range(12) for x, y in ring]))
+
+
+def test_equal_boxes_are_clipped_once(agrees, monkeypatch):
+    seen, whole = [], spatial.overlap_join
+    monkeypatch.setattr(spatial, "overlap_join", lambda a, b, **k: seen.append((a.count(), b.count())) or whole(a, b, **k))
+    agrees("overlap_manifest_pairs", customer=SAME_BOXES.format("c_custkey"), supplier=SAME_BOXES.format("s_suppkey"))
+    assert seen == [(2, 2)]
