@@ -504,10 +504,13 @@ def homography_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skyquilt.functions import transforms as T
 
     flat = lambda ring: F.flatten(F.transform(ring, lambda p: F.array(p["x"], p["y"])))
-    pairs = box_pairs(spark, sf_dir, A_SUPPLIER, B_PART).select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), flat(F.col("a_ring")).alias("a_foot"), flat(F.col("b_ring")).alias("b_foot"), *[F.lit(v).alias(n) for n, v in (("a_lines", 100), ("a_samples", 100), ("b_lines", 200), ("b_samples", 200))])
-    fitted = T.corner_transform(pairs)
+    a, b = boxes(spark, sf_dir, *A_SUPPLIER), boxes(spark, sf_dir, *B_PART)
+    met = spatial.box_candidates(spatial.shapes(a, "a"), spatial.shapes(b, "b")).where(G.box_overlap(F.col("a_box"), F.col("b_box")) > 0)
+    pairs = met.select(F.struct("a_shape", "b_shape").alias("pair_id"), flat(F.col("a_ring")).alias("a_foot"), flat(F.col("b_ring")).alias("b_foot"), *[F.lit(v).alias(n) for n, v in (("a_lines", 100), ("a_samples", 100), ("b_lines", 200), ("b_samples", 200))])
+    fitted = T.corner_transform(pairs.repartition(spark.sparkContext.defaultParallelism, "pair_id"))
     there = T.apply_homography(F.col("forward"), F.lit(49.5), F.lit(49.5))
-    return fitted.select("pair_id", (F.round(there["x"], 6) + 0.0).alias("x"), (F.round(there["y"], 6) + 0.0).alias("y"), "error")
+    placed = fitted.select("pair_id.*", (F.round(there["x"], 6) + 0.0).alias("x"), (F.round(there["y"], 6) + 0.0).alias("y"), "error")
+    return spatial.of_shapes(placed, a, b).select(X.pair_id(F.col("a_id"), F.col("b_id")).alias("pair_id"), "x", "y", "error")
 
 
 @query("SELECT label AS g, vec_id AS a_id, vec_id AS b_id, 1.0::DOUBLE AS similarity FROM embeddings")

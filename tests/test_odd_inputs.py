@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skyquilt.functions import transforms
 from skyquilt.operators import spatial
 from test_entry import rows
 
@@ -54,3 +55,10 @@ def test_equal_boxes_are_clipped_once(agrees, monkeypatch):
     monkeypatch.setattr(spatial, "overlap_join", lambda a, b, **k: seen.append((a.count(), b.count())) or whole(a, b, **k))
     agrees("overlap_manifest_pairs", customer=SAME_BOXES.format("c_custkey"), supplier=SAME_BOXES.format("s_suppkey"))
     assert seen == [(2, 2)]
+
+
+def test_homographies_of_equal_boxes_are_fitted_once(agrees, monkeypatch):
+    seen, whole = [], transforms.corner_transform
+    monkeypatch.setattr(transforms, "corner_transform", lambda pairs, **k: seen.append(pairs.count()) or whole(pairs, **k))
+    agrees("homography_project", supplier=SAME_BOXES.format("s_suppkey"), part=SAME_BOXES.format("p_partkey"))
+    assert seen == [2]
