@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.common import bound_batches, ddl, mix, output, prefix_sums, slices, span_hashes, texts
+from skyquilt.llm.common import bound_batches, ddl, lean, mix, output, prefix_sums, slices, span_hashes, texts
 from skyquilt.llm.common import BYTE_VALUES
 
 WINDOW = 10
@@ -121,10 +121,11 @@ def search(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFr
     """``row_id, doc_id, n_words, hit_words, items`` of docs (``row_id, doc_id, text``): runs of hit words as start, end, start, end, ... and ids joined by newlines."""
     cast = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_BYTES of text at most
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, compiled = [i for i, _ in cast.value], compile_patterns(cast.value, window)
         for batch in batches:
-            for rows, data, off in slices(batch):
+            for rows, data, off in slices(batch, limit=1 << 20):
                 words = Words(data, off)
                 hit = np.zeros(len(words.start) + 1, np.int64)
                 names: dict[int, set[str]] = defaultdict(set)
@@ -153,6 +154,7 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", p
 
 
 def summarize(hits: DataFrame) -> DataFrame:
+    @lean
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs, names = batch.column("hit_words").to_pylist(), [x.split("\n") if x else [] for x in batch.column("items").to_pylist()]
@@ -205,11 +207,12 @@ def flag_udf(docs: DataFrame, items: list[tuple[str, str]], window: int):
 
     cast = docs.sparkSession.sparkContext.broadcast(items)  # BLOCK_BYTES of text at most
 
+    @lean
     def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         compiled = compile_patterns(cast.value, window)
         for batch in batches:
             out = []
-            for rows, data, off in slices(pa.record_batch([pa.array(batch, pa.string())], names=["text"])):
+            for rows, data, off in slices(pa.record_batch([pa.array(batch, pa.string())], names=["text"]), limit=1 << 20):
                 words, hit = Words(data, off), np.zeros(rows.num_rows, bool)
                 for patterns in compiled:
                     for last, _ in patterns.occurrences(words):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyquilt.llm.common import BYTE_VALUES, bound_batches, ddl, materialize, mix, output, prefix_sums, signed, slices, span_hashes
+from skyquilt.llm.common import BYTE_VALUES, bound_batches, ddl, lean, materialize, mix, output, prefix_sums, signed, slices, span_hashes
 from skyquilt.llm.components import connected_components
 
 SHINGLE = 4
@@ -132,6 +132,7 @@ def counters(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def describe(keyed: DataFrame, size: int) -> DataFrame:
     """A row for each document (class, set size, bucket counts), and one for each task with its shingle counters."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << COUNTERS), np.int64)
         for batch in batches:
@@ -150,6 +151,7 @@ def describe(keyed: DataFrame, size: int) -> DataFrame:
 def summed(parts: DataFrame) -> bytes:
     """Sum of the tasks' counters, in two rounds of fixed-size arrays."""
 
+    @lean
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(2 << COUNTERS, np.int64)
         for batch in batches:
@@ -177,6 +179,7 @@ def postings(keyed: DataFrame, counts: bytes, size: int, percent: int) -> DataFr
     excess = np.where(z < 8, 64 + 16 * np.clip(z, -4, 8), 192 + 4 * np.log2(np.maximum(z, 8) / 8)).clip(0, 254).astype(np.uint8)
     cast = keyed.sparkSession.sparkContext.broadcast(excess)  # 2**19 bytes
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # classes of this task: copies need no further postings
         for batch in batches:
@@ -247,6 +250,7 @@ def has_partner(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int,
 def index_lists(rows: DataFrame, percent: int) -> DataFrame:
     """Rows of lists that hold two classes at least, each class once, without rows that no other row of the list can link with."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, v, pos in whole_lists(batches, ["token", "n", "v", "pos"]):
             fresh = np.ones(len(token), bool)
@@ -264,6 +268,7 @@ def index_lists(rows: DataFrame, percent: int) -> DataFrame:
 def some_pairs(rows: DataFrame, percent: int, turn: int) -> DataFrame:
     """Candidate pairs of different components: each row with the next ones of its list, by size in one turn, in random order in the others."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, v, pos, comp in whole_lists(batches, ["token", "n", "v", "pos", "comp"]):
             if turn:
@@ -335,6 +340,7 @@ def open_pairs(rows: DataFrame, percent: int, few: int | None = None, room: int
     With ``few``, a set's most promising ones of each other component only.
     """
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for token, n, v, pos, comp, sketch in whole_lists(batches, ["token", "n", "v", "pos", "comp", "sketch"]):
             n, pos = n.astype(np.int64), pos.astype(np.int64)
@@ -362,6 +368,7 @@ def open_pairs(rows: DataFrame, percent: int, few: int | None = None, room: int
 def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Distinct pairs whose bucket counts leave room for the needed overlap."""
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if k := batch.num_rows:
@@ -381,6 +388,7 @@ def overlaps(pairs: DataFrame, texts_of: DataFrame, size: int) -> DataFrame:
     own = dealt.select("x", "part").distinct().select("x", "part", F.col("x").alias("v"), F.lit(0).alias("kind"))
     rows = dealt.select("x", "part", F.col("y").alias("v"), F.lit(1).alias("kind")).union(own).join(texts_of, "v")
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, base = None, np.zeros(0, np.uint64)
         for batch in batches:
@@ -511,6 +519,7 @@ def id_filter(ids: DataFrame) -> tuple[int, bytes]:
     n = ids.count()
     bits = min(FILTER_BITS, max(16, int(16 * n).bit_length()))
 
+    @lean
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
@@ -536,6 +545,7 @@ def class_texts(keyed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     bits, bitmap = id_filter(wanted.where(F.col("jk").isNotNull()))
     cast = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
+    @lean
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flag = np.unpackbits(np.frombuffer(cast.value, np.uint8)).astype(bool)
         for batch in batches:

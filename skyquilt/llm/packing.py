@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyquilt.llm.bpe import encoder
-from skyquilt.llm.common import bound_batches, ddl, materialize, output, slices, texts
+from skyquilt.llm.common import bound_batches, ddl, lean, materialize, output, slices, texts
 
 CAPACITY = 4096
 #: Pieces of an island; the number of islands grows with the input.
@@ -41,6 +41,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = 1, capac
     """``doc_id, piece, start, length, ids_crc32``; only documents over ``capacity`` tokens are cut."""
     bound_batches(docs.sparkSession)
 
+    @lean
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(tokenizer_file, False, end_id)
         for batch in batches:
@@ -206,6 +207,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, island_pieces: int = ISLAN
     islands = max(1, round(kept.count() / island_pieces))
     dealt = kept.withColumn("island", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(islands)).cast("int"))
 
+    @lean
     def solve(pdf, foreign, emit_elites: bool, epoch: int):  # noqa: ANN001
         import pandas as pd
 
