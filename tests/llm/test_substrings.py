@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 import numpy as np
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from llm_helpers import same
 from skyquilt.llm import substring_dedup as S
+from skyquilt.llm.common import FREE_SHUFFLES
 
 
 def brute(rows, length):
@@ -61,3 +63,26 @@ def test_kernel_on_periodic_and_weighted_stretches():
     found = S.repeated_starts(np.frombuffer(b"".join(parts), np.uint8), off, np.array([1, 1, 1, 2]), 30)
     runs = [found[a:b] for a, b in zip(off[:-1], off[1:], strict=True)]
     assert runs[0][:51].all() and not runs[1][:3].any() and runs[1][3:14].all() and not runs[2].any() and runs[3][:18].all()
+
+
+def shuffle_bytes(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(f.length() for f in (files.apply(i) for i in range(files.length())) if f.getName().startswith("shuffle_"))
+
+
+def test_one_copy_of_the_texts_in_shuffle_files(spark):
+    """Steps leave no shuffle files behind, so that only the result's own shuffle of whole texts is there at the end."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(map(chr, rng.integers(33, 127, n)))
+    passages = [word(450) for _ in range(20)]
+    rows = [(i, word(2000) + passages[i % 20] + word(2000)) for i in range(200)]
+    docs, setting, before = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get(FREE_SHUFFLES), shuffle_bytes(spark)
+    result = S.remove_repeats(docs)
+    assert spark.conf.get(FREE_SHUFFLES) == setting
+    for _ in range(100):  # files go in the background; a row count may leave a few bytes
+        if shuffle_bytes(spark) - before < 1000:
+            break
+        time.sleep(0.1)
+    assert shuffle_bytes(spark) - before < 1000
+    same(result.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect(), brute(rows, 400))
+    assert shuffle_bytes(spark) - before < 1.5 * sum(len(t) for _, t in rows)
