@@ -46,6 +46,24 @@ def test_store_round_trip(spark, docs, corpus, nothing):
     assert T.tokenize_and_digest(nothing, BYTE).count() == 0
 
 
+def test_rows_of_one_id_follow_their_texts(spark):
+    """Across ranges too: rows without an id and rows of one id, with common beginnings, in the order of their bytes."""
+    r = np.random.default_rng(6)
+    heads = ["", "é", "z" * 40, "\U0001f600", "\uffee", "A"]
+    rows = [(i, heads[k % 6] + " ".join(map(str, r.integers(0, 1000, int(r.integers(0, 30)))))) for i in (None, 7, 8) for k in range(200)]
+    path = fresh_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), path, BYTE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode()))
+    ids = plain(BYTE, [t for _, t in rows], 0)
+    got = T.read_tokens(spark, path).orderBy("start").collect()
+    assert [(x.doc_id, x.ids) for x in got] == [(d, x.tolist()) for (d, _), x in zip(rows, ids, strict=True)]
+    assert spark.read.parquet(path).where("doc_id IS NULL").select("part").distinct().count() > 1
+
+
 def test_file_format(spark, docs, tmp_path):
     import pyarrow.parquet as pq
 
