@@ -17,8 +17,8 @@ from skyquilt.llm.common import bound_batches, ddl, fresh_path, slices, texts
 #: Ids repeat, so they are dictionary pages; the version 2 writer has delta pages for the sorted columns. Pages of few rows, each with its entry in the page index, let a reader fetch single documents.
 FORMAT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "256", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 
-#: Bytes of a text by which rows of one doc_id, or of none, are dealt to ranges.
-PREFIX = 32
+#: Bytes of a text by which rows of one doc_id are dealt to ranges, and those without one, of which there may be many.
+PREFIX, PREFIX_WITHOUT_ID = 32, 128
 
 STORED = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("start_in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -29,7 +29,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
 
     Files follow one another by ``part``; rows without doc_id come first, repeated ids stay next to
     each other in the order of their texts' bytes. Ranges may end between them where the first
-    ``PREFIX`` bytes differ. An empty table writes no rows.
+    ``PREFIX`` or ``PREFIX_WITHOUT_ID`` bytes differ. An empty table writes no rows.
     """
     bound_batches(docs.sparkSession)
 
@@ -44,7 +44,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
                 at += int(ends[-1])
 
     # beginnings of texts follow the order of texts and are short enough to be sampled for the ends of ranges
-    keyed = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("head", F.substring(F.col("text").cast("binary"), 1, PREFIX))
+    head = F.substring(F.col("text").cast("binary"), F.lit(1), F.when(F.col("doc_id").isNull(), PREFIX_WITHOUT_ID).otherwise(PREFIX))
+    keyed = texts(docs, F.col("doc_id").cast("long").alias("doc_id")).withColumn("head", head)
     ordered = keyed.repartitionByRange("doc_id", "head").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     ordered.mapInArrow(encode, ddl(STORED)).write.options(**FORMAT).parquet(path)
 
